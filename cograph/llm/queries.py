@@ -1,11 +1,13 @@
 """Queries of this subpackage, by name, and their SQL."""
 
-from cograph.llm import mixing, secrets
+from cograph.llm import mixing, secrets, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op4_secrets": secrets.op4_secrets,
+        "op5_tokens": tokens.op5_tokens,
+        "op6_simhash": simhash.op6_simhash,
         "op9_mixing": mixing.op9_mixing,
     }
 
