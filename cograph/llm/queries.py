@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and their SQL."""
 
-from cograph.llm import mixing, secrets, simhash, tokens
+from cograph.llm import mixing, neighbours, secrets, simhash, tokens, urls
 
 
 def queries() -> dict:
@@ -8,9 +8,11 @@ def queries() -> dict:
         "op4_secrets": secrets.op4_secrets,
         "op5_tokens": tokens.op5_tokens,
         "op6_simhash": simhash.op6_simhash,
+        "op7_urls": urls.op7_urls,
         "op9_mixing": mixing.op9_mixing,
+        "op10_neighbours": neighbours.op10_neighbours,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_secrets": secrets.secrets_sql(), "op9_mixing": mixing.mixing_sql()}
+    return {"op4_secrets": secrets.secrets_sql(), "op9_mixing": mixing.mixing_sql(), "op10_neighbours": neighbours.neighbours_sql()}
