@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and their SQL."""
 
-from cograph.llm import mixing, neighbours, secrets, simhash, tokens, urls
+from cograph.llm import contamination, mixing, neighbours, secrets, simhash, tokens, urls
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op5_tokens": tokens.op5_tokens,
         "op6_simhash": simhash.op6_simhash,
         "op7_urls": urls.op7_urls,
+        "op8_contamination": contamination.op8_contamination,
         "op9_mixing": mixing.op9_mixing,
         "op10_neighbours": neighbours.op10_neighbours,
     }
