@@ -146,3 +146,17 @@ def word_hashes_raw(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         live = live[(ends[live] - starts[live]) > k] if k else live
         out[live] += (raw[starts[live] + k].astype(np.uint64) + np.uint64(1)) * powers[k]
     return out
+
+
+#: Words without marks: runs of ASCII letters and digits and of non-ASCII characters.
+NOT_WORD = np.ones(256, dtype=bool)
+NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, and for each text the number of words before it."""
+    raw, at = text_bytes(texts)
+    raw = raw | (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
+    starts, ends, first = word_spans(raw, at, NOT_WORD)
+    return word_hashes(raw, starts, ends), first

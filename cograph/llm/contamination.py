@@ -29,20 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cograph.llm.common import ascii_lower, table, text_bytes, word_hashes, word_spans
+from cograph.llm.common import WORD_SQL, ascii_lower, table, words_of
 
 THRESHOLD, OVERLAP, HALF, RUN, K1, B, SPARE, CHUNK_WORDS = 0.4, 0.3, 64, 5, 1.2, 0.75, 0.15, 2_000_000
-NOT_WORD = np.ones(256, dtype=bool)
-NOT_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts, and for each text the number of words before it."""
-    raw, at = text_bytes(texts)
-    raw = raw | (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
-    starts, ends, first = word_spans(raw, at, NOT_WORD)
-    return word_hashes(raw, starts, ends), first
 
 
 def runs_of(words: np.ndarray, n: int = RUN) -> np.ndarray:
