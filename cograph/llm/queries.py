@@ -1,11 +1,12 @@
 """Queries of this subpackage, by name, and their SQL."""
 
-from cograph.llm import contamination, language, licences, mixing, neighbours, secrets, simhash, tokens, urls
+from cograph.llm import contamination, language, licences, mixing, neighbours, secrets, simhash, substrings, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_language": language.op1_language,
+        "op2_substrings": substrings.op2_substrings,
         "op3_licences": licences.op3_licences,
         "op4_secrets": secrets.op4_secrets,
         "op5_tokens": tokens.op5_tokens,

@@ -48,3 +48,22 @@ def tokens(rows, tokenizer):
         out.append((d, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def substrings(rows, window=13):
+    """rows: (doc_id, text) -> (doc_id, n_words, n_removed, kept words)."""
+    texts = [(d, (t or "").encode().split()) for d, t in rows]
+    least: dict[tuple, int] = {}
+    for d, w in texts:
+        if d is not None:
+            for i in range(len(w) - window + 1):
+                key = tuple(w[i : i + window])
+                least[key] = min(least.get(key, d), d)
+    out = []
+    for d, w in texts:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if d is not None and least[tuple(w[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        out.append((d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    return out
