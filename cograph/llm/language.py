@@ -26,7 +26,7 @@ from cograph.llm.common import table, text_bytes
 
 WINDOW, WIDTHS, FILTERS, SEED = 256, (3, 4, 5), 8, 7
 PER_LANGUAGE, PIECES, MAX_LANGUAGES, STEPS, BATCH = 400, 3, 256, 500, 64
-UNKNOWN = "und"
+UNKNOWN, LEAST_SCORE = "und", 0.3
 _TAPS = max(WIDTHS)
 _MASK = np.repeat(np.array([[k < w for w in WIDTHS] for k in range(_TAPS)]), FILTERS, axis=1)
 
@@ -184,6 +184,22 @@ def identify(docs: DataFrame, model) -> DataFrame:
     return docs.mapInArrow(_predictor(model), schema)
 
 
+def _recognised(model, least: float):
+    def run(batches):
+        network = Network.of(*model)
+        for batch in batches:
+            names, scores = network.predict(batch.column("text"))
+            stay = [i for i, (n, s) in enumerate(zip(names, scores, strict=True)) if n != UNKNOWN and s >= least]
+            yield batch if len(stay) == batch.num_rows else batch.take(pa.array(stay, pa.int64()))
+
+    return run
+
+
+def recognised(docs: DataFrame, model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs` in a learned language, with all their columns; without a model, none is recognised."""
+    return docs.mapInArrow(_recognised(model, least), docs.schema) if model else docs.filter(F.lit(False))
+
+
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

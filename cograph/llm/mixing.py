@@ -44,19 +44,22 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row of `docs` (doc_id, text, source; more are ignored)."""
+SIZE, KEY = "__size", "__key"
+
+
+def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """`docs` with its number of words and its place in the seeded order."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized, _ = written(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")),
-        "mix-sizes",
-    )
+    return docs.withColumn(SIZE, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn(KEY, key)
+
+
+def rulings(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """One row a source: its target, the whole repetitions, and where in the seeded order the fractional one ends."""
     targets, _ = written(source_targets(sized, weights, share, cap), "mix-targets")
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn(
         "part", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    bucket = F.substring("key", 1, 3)
-    sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    sums = sized.groupBy("source", F.substring(KEY, 1, 3).alias("bucket")).agg(F.sum("size").alias("words"))
     upto = sums.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bucket")))
     edge = (
         upto.alias("u")
@@ -64,20 +67,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
         .filter((F.col("upto") - F.col("words") < F.col("part")) & (F.col("part") <= F.col("upto")))
         .select(F.col("u.source").alias("source"), F.col("bucket").alias("edge"), (F.col("upto") - F.col("words")).alias("before"))
     )
-    ruled = targets.alias("t").join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select("t.*", "edge", "before")
-    ruled, _ = written(ruled, "mix-edges")
-    rows = (
-        sized.alias("d")
-        .join(ruled.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-        .select("d.doc_id", "d.source", "d.size", "d.key", bucket.alias("bucket"), "source_size", "target", "whole", "part", "edge", "before")
-    )
-    order = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    on_edge = rows.filter(F.col("bucket") == F.col("edge")).withColumn("upto", F.col("before") + F.sum("size").over(order))
-    more = on_edge.select("doc_id", "size", "source_size", "target", "whole", (2 * F.col("upto") - F.col("size") <= 2 * F.col("part")).alias("more"))
-    clear = rows.filter(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).select(
-        "doc_id", "size", "source_size", "target", "whole", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).alias("more")
-    )
-    return clear.unionByName(more).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more").cast("long"))).alias("taken"))
+    ruled = targets.alias("t").join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select(F.struct("t.*", "edge", "before").alias("__r"))
+    return written(ruled, "mix-rulings")[0]
+
+
+def repeated(rows: DataFrame, ruled: DataFrame) -> DataFrame:
+    """`rows` (measured) with __r, their source's ruling, and __times, how often the mix takes them."""
+    bucket, r = F.substring(KEY, 1, 3), F.col("__r")
+    both = rows.join(ruled, rows["source"].eqNullSafe(r["source"]))
+    on_edge = bucket == r["edge"]
+    order = W.partitionBy("source").orderBy(KEY, "doc_id", SIZE).rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = both.filter(on_edge).withColumn("__upto", r["before"] + F.sum(SIZE).over(order))
+    edged = upto.withColumn("__times", r["whole"] + (2 * F.col("__upto") - F.col(SIZE) <= 2 * r["part"]).cast("long")).drop("__upto")
+    clear = both.filter(~F.coalesce(on_edge, F.lit(False))).withColumn("__times", r["whole"] + F.coalesce(bucket < r["edge"], F.lit(False)).cast("long"))
+    return clear.unionByName(edged)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every row of `docs` (doc_id, text, source; more are ignored)."""
+    narrow, _ = written(measured(docs.select("doc_id", "source", "text"), seed).drop("text").withColumn("size", F.col(SIZE)), "mix-sizes")
+    out = repeated(narrow, rulings(narrow, weights, share, cap))
+    return out.select("doc_id", "size", F.col("__r.source_size").alias("source_size"), F.col("__r.target").alias("target"), (F.col("size") * F.col("__times")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it, with all their columns."""
+    narrow, _ = written(measured(docs.select("doc_id", "source", "text"), seed).drop("text").withColumn("size", F.col(SIZE)), "mix-sizes")
+    taken = repeated(measured(docs, seed), rulings(narrow, weights, share, cap)).filter("__times > 0")
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

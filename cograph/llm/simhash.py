@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cograph.llm.common import remove, table, written
@@ -62,12 +63,8 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches):
     for batch in batches:
-        found = [fingerprint(t) for t in map(str_or_none, batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).astype(np.int64))], names=["doc_id", "fp"])
-
-
-def str_or_none(x: pa.Scalar) -> str | None:
-    return x.as_py()
+        found = [fingerprint(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ref"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["doc_id", "ref", "fp"])
 
 
 def parts_of(n: int, radius: int = RADIUS) -> tuple[int, list[tuple[int, ...]]]:
@@ -94,7 +91,7 @@ def planes_of(values: np.ndarray) -> np.ndarray:
 def within(planes: np.ndarray, queries: np.ndarray, n: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, value) of at most `radius` differing bits: carry-save counters over vertical planes.
 
-    Four queries' worth of counters would do for any radius below 16; a counter that passes 15 sticks in `over`.
+    The counters have as many bits as the radius; what they carry out stays in `over`.
     """
     words = planes.shape[1]
     rows, cols = np.meshgrid(np.arange(len(queries)), np.arange(words), indexing="ij")
@@ -285,14 +282,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, list[
 
 
 def clusters(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id for each row of `docs` (doc_id, text)."""
-    fps, _ = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-fp")
+    """doc_id, ref, fp, root and component_id for each row of `docs` (doc_id, text); ref: a hash of id and text."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("ref"), "text")
+    fps, _ = written(rows.mapInArrow(_fingerprints, "doc_id long, ref long, fp long"), "simhash-fp")
     nodes, _ = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots, _ = components(links(nodes.select("fp"), nodes.count(), radius))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named, _ = written(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+    return fps.join(named, "fp").select("doc_id", "ref", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of their group, one a group, with all their columns."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ref"))
+    stay = clusters(docs, radius).groupBy("root").agg(best.alias("best")).select(F.col("best.ref").alias("__ref"))
+    same = W.partitionBy("__ref").orderBy(F.xxhash64(*docs.columns))
+    held = docs.withColumn("__ref", F.xxhash64("doc_id", "text")).join(stay, "__ref", "left_semi")
+    return held.withColumn("__n", F.row_number().over(same)).filter("__n = 1").select(docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
