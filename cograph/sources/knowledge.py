@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cograph.functions.vectors import normalise
@@ -36,7 +37,7 @@ def statistics(df: DataFrame, target: int | None = None) -> DataFrame:
     """points by label and in all, and the share of a target reached (at most 1)."""
     n = F.count("*")
     out = df.groupBy("ground_truth").agg(n.alias("points"))
-    total = F.sum("points").over()
+    total = F.sum("points").over(W.partitionBy())
     out = out.withColumn("total", total)
     return out.withColumn("progress", F.least(F.lit(1.0), F.col("total") / F.lit(float(target)))) if target else out
 

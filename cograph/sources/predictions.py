@@ -26,7 +26,7 @@ def read_logs(spark: SparkSession, *paths: str) -> DataFrame:
     key = F.lower(F.regexp_replace(F.col("_metadata.file_name"), r"\.log$", ""))
 
     def one(i: int, path: str) -> DataFrame:
-        files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.log").text(path)
+        files = spark.read.option("pathGlobFilter", "*.log").text(path, wholetext=True)
         return files.select(key.alias("sha256"), F.col("value").alias("content"), F.lit(path).alias("source"), F.lit(i).alias("src_prio"), F.col("_metadata.file_name").alias("file"))
 
     return keep_first(reduce(DataFrame.unionByName, [one(i, p) for i, p in enumerate(paths)]), ["sha256"], "src_prio", "file").drop("src_prio", "file")

@@ -11,7 +11,7 @@ from cograph.functions.text import freshness, strip
 
 def read_slice_files(spark: SparkSession, path: str) -> DataFrame:
     """sha256 (from the file name), path and content of every *_cfg.txt."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*_cfg.txt").text(path)
+    files = spark.read.option("pathGlobFilter", "*_cfg.txt").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_cfg\.txt$", 1)
     return files.select(F.lower(F.try_url_decode(name)).alias("sha256"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
