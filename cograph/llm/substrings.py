@@ -9,13 +9,15 @@ of the window. Every window of `WINDOW` words names one symbol whose zone lies i
 is the same for equal windows) or, if there is none, itself.
 
 1. The zones so named (about one for four words) are grouped; those in one document only cannot be in a repeat.
-2. The windows that hold a zone of several documents are named in full (96 bits of independent hashes), and the
-   smallest document of each name is found.
-3. Windows whose name is in a smaller document are sent back to their documents, and their words go.
+2. Stretches of windows that hold a zone of several documents are cut at places that their words choose, and each
+   piece is named as a whole: a piece that an earlier document has too is settled, with all its windows.
+3. The windows of the other pieces are named in full, and the smallest document of each name is found.
+4. What is in a smaller document is sent back to its document, and its words go.
 
-Keys are pre-aggregated before they are shuffled; the joins that send answers back have one small row a key on the
-other side, so a key that stands in a third of all rows is split by adaptive execution. Between the steps tables are
-written to the shared folder and dropped when they have been used.
+Names of pieces and windows have 96 bits of independent hashes. Keys are pre-aggregated before they are shuffled;
+the joins that send answers back have one small row a key on the other side, so a key that stands in a third of all
+rows is split by adaptive execution. Between the steps tables are written to the shared folder and dropped when they
+have been used. Rows are known by doc_id and a 32-bit hash of the text.
 
 Defined cases: null and empty texts have no words; a null doc_id is neither smaller nor larger than another, so such
 rows neither remove nor lose words; repeated rows and rows with equal ids never remove each other's words, and each
@@ -26,12 +28,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cograph.llm.common import remove, splitmix, table, text_bytes, word_hashes, word_spans, written
+from cograph.llm.common import mapped, remove, splitmix, table, text_bytes, word_hashes, word_spans, written
 
-WINDOW, ROUNDS, LEAST_ZONE, BATCH_WORDS = 13, 3, 6, 150_000
+WINDOW, ROUNDS, LEAST_ZONE, PIECE, BATCH_WORDS = 13, 3, 6, 16, 150_000
 _FAR = 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -155,41 +158,90 @@ def _anchor_rows(batches):
             if not len(key):
                 continue
             row = np.searchsorted(first, lo, side="right") - 1
-            ids, refs = part.column("doc_id").to_numpy(), part.column("ref").to_numpy()
             order = np.argsort(row, kind="stable")
             row, key, lo, hi = row[order], key[order], lo[order], hi[order]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(refs[row]), pa.array((lo - first[row]).astype(np.int32)), pa.array((hi - first[row]).astype(np.int32))],
-                names=["key", "doc_id", "ref", "lo", "hi"],
-            )
+            ids, tags = part.column("doc_id").to_numpy()[row], part.column("tag").to_numpy()[row]
+            # One number for the text's hash, the zone's place (28 bits) and its length (4 bits).
+            where = (tags.astype(np.int64) << 32) | ((lo - first[row]) << 4) | (hi - lo + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(where)], names=["key", "doc_id", "place"])
 
 
-def _window_rows(batches):
+def _marked(part: pa.RecordBatch, column: str, words: np.ndarray, first: np.ndarray):
+    """For each entry of a list column of structs: its row, and its fields as arrays."""
+    lists = part.column(column)
+    many = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    return np.repeat(np.arange(part.num_rows), many), [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
+
+
+def _cover(n: int, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the ranges [begin, stop)."""
+    marks = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(marks, begin, 1)
+    np.add.at(marks, stop, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+def _range_names(words: np.ndarray, begin: np.ndarray, stop: np.ndarray, seed: int) -> np.ndarray:
+    """Names of the word ranges [begin, stop), by prefix sums of a polynomial."""
+    base = _constants(1, seed)[0]
+    power = np.full(len(words) + 1, base, dtype=np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    inverse = np.full(len(words) + 1, pow(int(base), -1, 1 << 64), dtype=np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(words + np.uint64(seed)) * power[:-1], dtype=np.uint64)])
+    return splitmix((upto[stop] - upto[begin]) * inverse[begin] + (stop - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _half(names: np.ndarray) -> np.ndarray:
+    return (names >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _piece_rows(batches):
     for batch in batches:
         for part, words, first in _parts(batch):
-            zones = part.column("zones")
-            many = pa.compute.list_value_length(zones).to_numpy(zero_copy_only=False)
-            flat = zones.flatten()
-            row = np.repeat(np.arange(part.num_rows), many)
-            lo, hi, earlier = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ids, tags, n = part.column("doc_id").to_numpy(), part.column("tag").to_numpy(), len(words)
+            row, (place, least) = _marked(part, "zones", words, first)
+            lo = (place >> 4) & 0xFFFFFFF
+            hi = lo + (place & 15) - 1
             counts = np.diff(first)[row]
-            begin, stop = np.maximum(hi - WINDOW + 1, 0), np.minimum(lo, counts - WINDOW)
-            ok = stop >= begin
-            n = len(words)
-            hold, need = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32)
-            for marks, which in ((hold, ok), (need, ok & earlier.astype(bool))):
-                np.add.at(marks, first[row[which]] + begin[which], 1)
-                np.add.at(marks, first[row[which]] + stop[which] + 1, -1)
-            at = np.flatnonzero(np.cumsum(hold[:-1]) > 0)
+            begin, stop = np.maximum(hi - WINDOW + 1, 0), np.minimum(lo, counts - WINDOW) + 1
+            ok = stop > begin
+            begin, stop = first[row] + begin, first[row] + stop
+            hold, need = _cover(n, begin[ok], stop[ok]), _cover(n, begin[ok & (least < ids[row])], stop[ok & (least < ids[row])])
+            at = np.flatnonzero(hold)
             if not len(at):
                 continue
-            need = np.cumsum(need[:-1])[at] > 0
             mine = np.searchsorted(first, at, side="right") - 1
-            ids, refs = part.column("doc_id").to_numpy(), part.column("ref").to_numpy()
-            second = (named(words, at, WINDOW, seed=77) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            cut = splitmix(words[at] * np.uint64(3) + words[at + 1]) % np.uint64(PIECE) == 0
+            fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1]) | cut[1:]])
+            edge = np.flatnonzero(fresh)
+            last = np.concatenate([edge[1:], [len(at)]]) - 1
+            begin, end, mine = at[edge], at[last] + WINDOW, mine[edge]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(named(words, at, WINDOW, seed=55).view(np.int64)), pa.array(second), pa.array(ids[mine]), pa.array(refs[mine]), pa.array((at - first[mine]).astype(np.int32)), pa.array(need)],
-                names=["h", "c", "doc_id", "ref", "at", "need"],
+                [
+                    pa.array(_range_names(words, begin, end, 55).view(np.int64)), pa.array(_half(_range_names(words, begin, end, 77))), pa.array(ids[mine]), pa.array(tags[mine]),
+                    pa.array((begin - first[mine]).astype(np.int32)), pa.array((last - edge + 1).astype(np.int32)), pa.array(np.logical_or.reduceat(need[at], edge)),
+                ],
+                names=["h", "c", "doc_id", "tag", "at", "n", "need"],
+            )
+
+
+def _window_rows(batches):
+    for batch in batches:
+        for part, words, first in _parts(batch):
+            ids, tags = part.column("doc_id").to_numpy(), part.column("tag").to_numpy()
+            row, (place, many, need) = _marked(part, "pieces", words, first)
+            which = np.repeat(np.arange(len(row)), many)
+            if not len(which):
+                continue
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            at, mine = first[row][which] + place[which] + inside, row[which]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(named(words, at, WINDOW, seed=55).view(np.int64)), pa.array(_half(named(words, at, WINDOW, seed=77))), pa.array(ids[mine]), pa.array(tags[mine]), pa.array((at - first[mine]).astype(np.int32)), pa.array(need[which].astype(bool))],
+                names=["h", "c", "doc_id", "tag", "at", "need"],
             )
 
 
@@ -202,9 +254,9 @@ def _kept_rows(batches):
             gone = 0
             if places:
                 out = np.zeros(len(words) + 1, dtype=np.int32)
-                places = np.unique(np.array(places))
-                out[places] += 1
-                out[places + WINDOW] -= 1
+                begin, many = (np.array([p[k] for p in places]) for k in ("at", "n"))
+                np.add.at(out, begin, 1)
+                np.add.at(out, begin + many - 1 + WINDOW, -1)
                 stay = np.cumsum(out[:-1]) == 0
                 gone = len(words) - int(stay.sum())
                 kept = [words[i] for i in np.flatnonzero(stay)]
@@ -216,31 +268,44 @@ def _kept_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([d.decode() for d in digests], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(ref, places): for each row (by its ref) the starts of its windows that also start in a smaller document."""
-    spark = docs.sparkSession
-    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    zones, zones_path = written(known.select("doc_id", "ref", "text").mapInArrow(_anchor_rows, "key long, doc_id long, ref long, lo int, hi int"), "sub-zones")
+def _least(rows: DataFrame) -> DataFrame:
+    """The smallest document of each name that more than one has."""
+    return rows.groupBy("h", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "c", "least")
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, places): for each row the ranges (first, number) of its windows that also start in a smaller document."""
+    spark, row = docs.sparkSession, ["doc_id", "tag"]
+    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "tag", "text")
+
+    zones, zones_path = written(known.transform(mapped(_anchor_rows, "key long, doc_id long, place long")), "sub-zones")
     shared = zones.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
-    back = zones.join(shared.hint("shuffle_hash"), "key").select("ref", F.struct("lo", "hi", (F.col("least") < F.col("doc_id")).alias("earlier")).alias("zone"))
-    by_row, by_row_path = written(back.groupBy("ref").agg(F.collect_list("zone").alias("zones")), "sub-rows")
+    back = zones.join(shared.hint("shuffle_hash"), "key").select("doc_id", F.shiftright("place", 32).cast("int").alias("tag"), F.struct("place", "least").alias("zone"))
+    by_row, by_row_path = written(back.groupBy(*row).agg(F.collect_list("zone").alias("zones")), "sub-rows")
+    del back, shared
     remove(spark, zones_path)
-    held = known.select("doc_id", "ref", "text").join(by_row, "ref")
-    windows, windows_path = written(held.select("doc_id", "ref", "text", "zones").mapInArrow(_window_rows, "h long, c int, doc_id long, ref long, at int, need boolean"), "sub-windows")
+
+    pieces, pieces_path = written(known.join(by_row, row).transform(mapped(_piece_rows, "h long, c int, doc_id long, tag int, at int, n int, need boolean")), "sub-pieces")
     remove(spark, by_row_path)
-    least = windows.groupBy("h", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "c", "least")
-    gone = windows.filter("need").join(least.hint("shuffle_hash"), ["h", "c"]).filter("least < doc_id").select("ref", "at")
-    places, places_path = written(gone.groupBy("ref").agg(F.collect_list("at").alias("places")), "sub-places")
-    remove(spark, windows_path)
-    return places, [places_path]
+    judged = pieces.join(_least(pieces).hint("shuffle_hash"), ["h", "c"], "left").withColumn("settled", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)))
+    judged, judged_path = written(judged.select(*row, "at", "n", "need", "settled"), "sub-judged")
+    remove(spark, pieces_path)
+
+    unsettled = judged.filter("NOT settled").groupBy(*row).agg(F.collect_list(F.struct("at", "n", "need")).alias("pieces"))
+    windows, windows_path = written(known.join(unsettled, row).transform(mapped(_window_rows, "h long, c int, doc_id long, tag int, at int, need boolean")), "sub-windows")
+    remove(spark)
+    found = windows.filter("need").join(_least(windows).hint("shuffle_hash"), ["h", "c"]).filter("least < doc_id").select(*row, "at", F.lit(1).alias("n"))
+    gone = found.unionByName(judged.filter("settled").select(*row, "at", "n"))
+    places, _ = written(gone.groupBy(*row).agg(F.collect_list(F.struct("at", "n")).alias("places")), "sub-places")
+    remove(spark, windows_path, judged_path)
+    return places
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) for each row of `docs`."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ref"))
-    places, _ = repeated_windows(rows)
-    joined = rows.join(places, "ref", "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept string")
+    rows = docs.select("doc_id", "text", F.hash("text", F.xxhash64("text")).alias("tag"))
+    joined = rows.join(repeated_windows(rows), ["doc_id", "tag"], "left").select("doc_id", "text", "places")
+    return joined.transform(mapped(_kept_rows, "doc_id long, n_words long, n_removed long, kept string"))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
