@@ -138,3 +138,14 @@ def freshness(content: Column, markers: Iterable[str] = C.FRESH_MARKERS, current
         .when(F.size(marked) > 0, row(True, F.concat(F.lit("marker "), F.get(marked, F.lit(0)))))
         .otherwise(row(False, F.lit("no header, no marker")))
     )
+
+
+DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = DNS_NAMESPACE) -> Column:
+    """The version 5 UUID of a name, from its SHA-1, without a Python function."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))

@@ -50,3 +50,17 @@ def outcome_counts(df: DataFrame, outcome: str = "outcome") -> DataFrame:
 
 def fresh_counts(states: DataFrame) -> DataFrame:
     return states.agg(F.count_if("fresh").alias("fresh"), F.count_if(~F.col("fresh")).alias("stale"), F.count_if(F.col("fresh") & F.col("reason").startswith("marker")).alias("rescued"))
+
+
+def run_summary(df: DataFrame, truth: str = "ground_truth", said: str = "prediction", seconds: str | None = None, keys: tuple = ()) -> DataFrame:
+    """Verdict counts, correct rows and their percentage among those with a truth, and the mean seconds of a row."""
+    known = F.col(truth).isNotNull()
+    out = [F.count("*").alias("total"), F.count_if(F.col(said) == POSITIVE).alias("malware"), F.count_if(F.col(said) == NEGATIVE).alias("benign"), F.count_if(known & (F.col(truth) == F.col(said))).alias("correct"), F.count_if(known).alias("known")]
+    out += [F.avg(seconds).alias("mean_seconds")] if seconds else []
+    summary = df.groupBy(*keys).agg(*out)
+    return summary.withColumn("accuracy_percent", F.coalesce(F.try_divide(F.col("correct") * 100.0, F.col("known")), F.lit(0.0)))
+
+
+def top_groups(rates: DataFrame, most: int = 15) -> DataFrame:
+    """The groups that a report shows: the largest first, then by name."""
+    return rates.orderBy(F.desc("total"), "family").limit(most)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -99,6 +100,17 @@ def create(name: str, **options) -> Model:
     return _REGISTRY[name](**options)
 
 
+def keys_from_environment(name: str) -> list[str]:
+    """NAME, NAME_1, NAME_2, ...: the keys of a service, in order, each once."""
+    found = [os.environ.get(name, "")] + [v for k, v in sorted(os.environ.items()) if re.fullmatch(rf"{re.escape(name)}_\d+", k)]
+    return list(dict.fromkeys(k.strip() for k in found if k.strip()))
+
+
+def short_of_budget(model: Model, least: int = 10_000) -> bool:
+    """Whether a model's prompts are too small for whole apps, which a run should warn of."""
+    return model.budget < least
+
+
 #: Prompts in our own words. The parsers need the field names in capitals.
 TIER1 = ("You review one sliced function. Answer with BEHAVIOR: and RISK_ASSESSMENT: LOW, MEDIUM or HIGH.", "FUNCTION: {function}\nAPI: {api}\n\n{body}")
 TIER2 = ("You sum up what an app does with one API. Answer with BEHAVIOR: and RISK_LEVEL: LOW, MEDIUM, HIGH or CRITICAL.", "API: {api} ({api_type})\n\n{summaries}")

@@ -180,6 +180,19 @@ def distribution(spark, d):
     return evaluation.distribution(read(spark, d, "documents"), "lang")
 
 
+@query(f"""SELECT source, count(*) AS total, count(*) FILTER (prediction = 'MALWARE') AS malware, count(*) FILTER (prediction = 'BENIGN') AS benign, count(*) FILTER (prediction = ground_truth) AS correct, count(*) AS known,
+round(count(*) FILTER (prediction = ground_truth) * 100.0 / count(*), 6)::DOUBLE AS accuracy_percent FROM {_JUDGED} GROUP BY source""")
+def run_summary(spark, d):
+    """AGG-5, AGG-6, AGG-14, WIN-18."""
+    return evaluation.run_summary(_judged(spark, d), keys=("source",)).withColumn("accuracy_percent", F.round("accuracy_percent", 6))
+
+
+@query()
+def uuid5_key(spark, d):
+    """STR-10, STR-9."""
+    return read(spark, d, "documents").select("doc_id", X.uuid5(F.concat_ws(":", "source", "lang", F.col("doc_id").cast("string"))).alias("id"), F.md5("text").alias("h"))
+
+
 @query(f"SELECT 'fp' AS kind, doc_id FROM (SELECT doc_id FROM {_JUDGED} WHERE ground_truth = 'BENIGN' AND prediction = 'MALWARE' ORDER BY doc_id LIMIT 10) UNION ALL SELECT 'fn', doc_id FROM (SELECT doc_id FROM {_JUDGED} WHERE ground_truth = 'MALWARE' AND prediction = 'BENIGN' ORDER BY doc_id LIMIT 10)")
 def fp_fn_top10(spark, d):
     """WIN-14, FLT-13: a report of the first ten."""

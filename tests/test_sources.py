@@ -89,3 +89,43 @@ def test_incremental(spark, tmp_path):
     assert seen == [1, 2, 2]
     assert {r.sha256 for r in spark.read.parquet(out).collect()} == {"a", "b"}
     assert incremental.progress(spark.read.parquet(out), spark.range(4)).first().share == 0.5
+
+
+def test_uuid(spark):
+    import uuid
+
+    from cograph.functions.text import uuid5
+
+    names = ["a:b:c", "", "é:x", *(f"n{i}" for i in range(50))]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert all(r.u == str(uuid.uuid5(uuid.NAMESPACE_DNS, r.n)) for r in df.select("n", uuid5(F.col("n")).alias("u")).collect())
+
+
+def test_extraction(spark, tmp_path):
+    import io
+
+    from cograph.plans import extraction
+
+    def archive(good):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("AndroidManifest.xml" if good else "x", "x")
+            z.writestr("classes.dex", "x")
+        return out.getvalue()
+
+    class Store:
+        def fetch(self, key):
+            if key == "gone":
+                raise OSError("404")
+            return archive(key != "bad")
+
+    class Decoder:
+        def slices(self, key, data):
+            if key == "slow":
+                raise TimeoutError("300 s")
+            return f"text of {key}"
+
+    work = spark.createDataFrame([(k,) for k in ("ok", "gone", "bad", "slow", "done")], "sha256 string")
+    done = spark.createDataFrame([("done",)], "sha256 string")
+    got = {r.sha256: (r.outcome, r.content) for r in extraction.extract(work, done, Store(), Decoder()).collect()}
+    assert got == {"ok": ("ok", "text of ok"), "gone": ("download", None), "bad": ("invalid", None), "slow": ("slicer", None)}
