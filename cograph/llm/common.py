@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: The white space between words in every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS, BATCH_BYTES = "1024", "8m"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,6 +69,29 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _tidy(function):
+    """`function`, giving memory back to the system when its task ends: workers are used again by other operators."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def mapped(function, schema):
+    """For DataFrame.transform: mapInArrow with batches of a bounded size, as texts may be long."""
+
+    def apply(df: DataFrame) -> DataFrame:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return df.mapInArrow(_tidy(function), schema)
+
+    return apply
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64 on unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

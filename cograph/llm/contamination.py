@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cograph.llm.common import WORD_SQL, ascii_lower, table, words_of
+from cograph.llm.common import WORD_SQL, ascii_lower, mapped, table, words_of
 
 THRESHOLD, OVERLAP, HALF, RUN, K1, B, SPARE, CHUNK_WORDS = 0.4, 0.3, 64, 5, 1.2, 0.75, 0.15, 2_000_000
 
@@ -206,14 +206,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified match."""
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
     for shared in indexes(items, threshold):
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_matches(shared), out.schema))
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").transform(mapped(_matches(shared), out.schema)))
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns."""
     for shared in indexes(items, threshold):
-        docs = docs.mapInArrow(_clean(shared), docs.schema)
+        docs = docs.transform(mapped(_clean(shared), docs.schema))
     return docs
 
 

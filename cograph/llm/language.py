@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cograph.llm.common import table, text_bytes
+from cograph.llm.common import mapped, table, text_bytes
 
 WINDOW, WIDTHS, FILTERS, SEED = 256, (3, 4, 5), 8, 7
 PER_LANGUAGE, PIECES, MAX_LANGUAGES, STEPS, BATCH = 400, 3, 256, 500, 64
@@ -181,7 +181,7 @@ def trained(docs: DataFrame):
 def identify(docs: DataFrame, model) -> DataFrame:
     """`docs` (with text) and lang_pred and score; `docs` must not have columns of these names."""
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predictor(model), schema)
+    return docs.transform(mapped(_predictor(model), schema))
 
 
 def _recognised(model, least: float):
@@ -197,7 +197,7 @@ def _recognised(model, least: float):
 
 def recognised(docs: DataFrame, model, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs` in a learned language, with all their columns; without a model, none is recognised."""
-    return docs.mapInArrow(_recognised(model, least), docs.schema) if model else docs.filter(F.lit(False))
+    return docs.transform(mapped(_recognised(model, least), docs.schema)) if model else docs.filter(F.lit(False))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

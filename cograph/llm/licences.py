@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cograph.llm.common import NOT_WORD, table, text_bytes, word_hashes, word_spans, words_of
+from cograph.llm.common import NOT_WORD, mapped, table, text_bytes, word_hashes, word_spans, words_of
 
 CONTAINMENT, ROWS = 0.9, 1024
 
@@ -135,7 +135,7 @@ def _counter(terms: np.ndarray):
 def word_counts(docs: DataFrame, templates=TEMPLATES) -> dict[int, int]:
     """How often each word of the templates stands in all documents: one row a template word."""
     terms = np.unique(np.concatenate([_hash(t[1]) for t in templates]))
-    counted = docs.select("text").mapInArrow(_counter(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").transform(mapped(_counter(terms), "term long, n long")).groupBy("term").agg(F.sum("n").alias("n"))
     return {r.term & 0xFFFFFFFFFFFFFFFF: r.n for r in counted.collect()}
 
 
@@ -198,7 +198,7 @@ def _judge(templates, counts: dict[int, int], containment: float):
 
 
 def scan_licences(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_judge(templates, word_counts(docs, templates), containment), SCHEMA)
+    return docs.select("doc_id", "text").transform(mapped(_judge(templates, word_counts(docs, templates), containment), SCHEMA))
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

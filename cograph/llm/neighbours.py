@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cograph.llm.common import table, written
+from cograph.llm.common import mapped, table, written
 
 K, EVERY, QUERY_GROUP, BLOCK = 5, 50, 4096, 2048
 PACKED = "dim int, ids binary, vectors binary"
@@ -155,15 +155,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_group:
     queries, _ = written(queries, "knn-queries")
     groups = max(1, ceil(queries.count() / query_group))
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.repartition(groups, F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("v", F.col("v")).mapInArrow(_pack(query_group), PACKED)
+    asked = queries.repartition(groups, F.pmod(F.xxhash64("id"), F.lit(groups))).transform(mapped(_pack(query_group), PACKED))
     asked = asked.withColumn("qg", F.pmod(F.spark_partition_id().cast("long"), F.lit(groups)))
     asked, _ = written(asked, "knn-query-blocks")
     asked = asked.withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("side", F.lit(0))
-    blocks = candidates.mapInArrow(_pack(BLOCK), PACKED).withColumn("cg", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    blocks = candidates.transform(mapped(_pack(BLOCK), PACKED)).withColumn("cg", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
     blocks = blocks.withColumn("qg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).withColumn("side", F.lit(1))
     columns = ["qg", "cg", "dim", "side", "ids", "vectors"]
     both = asked.select(columns).unionByName(blocks.select(columns)).repartition("qg", "cg", "dim").sortWithinPartitions("qg", "cg", "dim", "side")
-    found = both.mapInArrow(_search(k), "query_id long, vec_id long, score double")
+    found = both.transform(mapped(_search(k), "query_id long, vec_id long, score double"))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

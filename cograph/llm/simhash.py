@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cograph.llm.common import remove, table, written
+from cograph.llm.common import mapped, remove, table, written
 
 SHINGLE, RADIUS, SEED, TILE = 4, 4, 42, 2048
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -254,7 +254,7 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
         "fp",
     )
     grouped = placed.repartition("choice", "key", "pair").sortWithinPartitions("choice", "key", "pair", "fp")
-    return grouped.mapInArrow(_linked(radius), "a long, b long").distinct()
+    return grouped.transform(mapped(_linked(radius), "a long, b long")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, list[str]]:
@@ -284,7 +284,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, list[
 def clusters(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, ref, fp, root and component_id for each row of `docs` (doc_id, text); ref: a hash of id and text."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("ref"), "text")
-    fps, _ = written(rows.mapInArrow(_fingerprints, "doc_id long, ref long, fp long"), "simhash-fp")
+    fps, _ = written(rows.transform(mapped(_fingerprints, "doc_id long, ref long, fp long")), "simhash-fp")
     nodes, _ = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots, _ = components(links(nodes.select("fp"), nodes.count(), radius))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cograph.llm.common import fresh_path, table, text_bytes, word_spans
+from cograph.llm.common import fresh_path, mapped, table, text_bytes, word_spans
 
 END_ID, SEGMENT_TOKENS, RANK_STEP, CACHE_WORDS = 2, 1 << 17, 512, 600_000
 SEGMENT = "shard long, segment long, n_tokens long, ids array<long>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
@@ -250,7 +250,7 @@ def _read_segments(batches):
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str) -> None:
     """Writes doc_id and text of `docs` to `out`, one file a shard, in ascending doc_id order."""
-    docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_encode_shard(tokenizer), SEGMENT).write.parquet(out)
+    docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).transform(mapped(_encode_shard(tokenizer), SEGMENT)).write.parquet(out)
 
 
 def read_digests(spark: SparkSession, out: str) -> DataFrame:
@@ -261,7 +261,7 @@ def read_digests(spark: SparkSession, out: str) -> DataFrame:
     shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before("shard")), F.lit(0)).alias("base"))
     inner = W.partitionBy("shard").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(shards, "shard").select("shard", "segment", (F.col("base") + F.col("ahead")).alias("base"))
-    digests = files.mapInArrow(_read_segments, "doc_id long, shard long, segment long, inside long, n_tokens long, ids_crc32 long")
+    digests = files.transform(mapped(_read_segments, "doc_id long, shard long, segment long, inside long, n_tokens long, ids_crc32 long"))
     return digests.join(bases, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
