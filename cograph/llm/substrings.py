@@ -268,9 +268,16 @@ def _kept_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([d.decode() for d in digests], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def _least(rows: DataFrame) -> DataFrame:
-    """The smallest document of each name that more than one has."""
-    return rows.groupBy("h", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "c", "least")
+def _least(rows: DataFrame, *name: str) -> tuple[DataFrame, str]:
+    """The smallest document of each name that more than one has.
+
+    Written first: the shuffle behind it can go, and a join with it has two plain shuffles, which Spark splits where
+    one name has too many rows.
+    """
+    several = rows.groupBy(*name).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    found = written(several.select(*name, "least"), "sub-least")
+    remove(rows.sparkSession)
+    return found
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -279,25 +286,26 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "tag", "text")
 
     zones, zones_path = written(known.transform(mapped(_anchor_rows, "key long, doc_id long, place long")), "sub-zones")
-    shared = zones.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
+    shared, shared_path = _least(zones, "key")
     back = zones.join(shared.hint("shuffle_hash"), "key").select("doc_id", F.shiftright("place", 32).cast("int").alias("tag"), F.struct("place", "least").alias("zone"))
     by_row, by_row_path = written(back.groupBy(*row).agg(F.collect_list("zone").alias("zones")), "sub-rows")
-    del back, shared
-    remove(spark, zones_path)
+    del back
+    remove(spark, zones_path, shared_path)
 
     pieces, pieces_path = written(known.join(by_row, row).transform(mapped(_piece_rows, "h long, c int, doc_id long, tag int, at int, n int, need boolean")), "sub-pieces")
     remove(spark, by_row_path)
-    judged = pieces.join(_least(pieces).hint("shuffle_hash"), ["h", "c"], "left").withColumn("settled", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)))
+    least, least_path = _least(pieces, "h", "c")
+    judged = pieces.join(least.hint("shuffle_hash"), ["h", "c"], "left").withColumn("settled", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)))
     judged, judged_path = written(judged.select(*row, "at", "n", "need", "settled"), "sub-judged")
-    remove(spark, pieces_path)
+    remove(spark, pieces_path, least_path)
 
     unsettled = judged.filter("NOT settled").groupBy(*row).agg(F.collect_list(F.struct("at", "n", "need")).alias("pieces"))
     windows, windows_path = written(known.join(unsettled, row).transform(mapped(_window_rows, "h long, c int, doc_id long, tag int, at int, need boolean")), "sub-windows")
-    remove(spark)
-    found = windows.filter("need").join(_least(windows).hint("shuffle_hash"), ["h", "c"]).filter("least < doc_id").select(*row, "at", F.lit(1).alias("n"))
+    least, least_path = _least(windows, "h", "c")
+    found = windows.filter("need").join(least.hint("shuffle_hash"), ["h", "c"]).filter("least < doc_id").select(*row, "at", F.lit(1).alias("n"))
     gone = found.unionByName(judged.filter("settled").select(*row, "at", "n"))
     places, _ = written(gone.groupBy(*row).agg(F.collect_list(F.struct("at", "n")).alias("places")), "sub-places")
-    remove(spark, windows_path, judged_path)
+    remove(spark, windows_path, judged_path, least_path)
     return places
 
 
