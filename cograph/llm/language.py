@@ -6,7 +6,8 @@ are the mean over all its windows, so the whole text counts. A filter's weights
 lets prediction look up the responses of byte pairs in tables instead of multiplying: three lookups a byte.
 
 Training takes a bounded sample: for each language, `PER_LANGUAGE` documents in the order of a seeded hash, with
-`PIECES` windows each (and at most `MAX_LANGUAGES` languages, the most frequent ones). The query learns only from
+`PIECES` windows each (and at most `MAX_LANGUAGES` languages, the most frequent ones); rows beyond `SPARE` times
+that number are passed over by their hash beforehand, so no task gets more. The query learns only from
 documents whose crc32 of the id is not 2 modulo 4, and no prediction looks at lang, source or doc_id.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without labelled text everything is
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from cograph.llm.common import mapped, table, text_bytes
 
 WINDOW, WIDTHS, FILTERS, SEED = 256, (3, 4, 5), 8, 7
-PER_LANGUAGE, PIECES, MAX_LANGUAGES, STEPS, BATCH = 400, 3, 256, 500, 64
+PER_LANGUAGE, PIECES, MAX_LANGUAGES, SPARE, STEPS, BATCH = 400, 3, 256, 4, 500, 64
 UNKNOWN, LEAST_SCORE = "und", 0.3
 _TAPS = max(WIDTHS)
 _MASK = np.repeat(np.array([[k < w for w in WIDTHS] for k in range(_TAPS)]), FILTERS, axis=1)
@@ -142,13 +143,16 @@ class Network:
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], tuple[np.ndarray, ...]] | None:
     """Trains on a bounded sample of rows (text, lang, key); key: what the sample is ordered by."""
-    frequent = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r.lang for r in frequent.collect())
+    frequent = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    languages = sorted(r.lang for r in frequent)
     if not languages:
         return None
+    # Rows of large languages are thinned by their key to a few times what is wanted before they meet in a task.
+    rates = F.create_map(*[F.lit(x) for r in frequent for x in (r.lang, min(1.0, SPARE * per_language / r.n))])
+    thin = F.shiftrightunsigned("key", 11) / float(1 << 53) <= rates[F.col("lang")]
     spread = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
     piece = [F.substring("text", F.pmod(F.xxhash64(F.lit(i), "key"), spread).cast("int") + 1, F.lit(WINDOW)) for i in range(PIECES)]
-    cut = labelled.filter(F.col("lang").isin(languages)).select("lang", "key", F.array(*piece).alias("pieces"))
+    cut = labelled.filter(F.col("lang").isin(languages)).filter(thin).select("lang", "key", F.array(*piece).alias("pieces"))
     order = W.partitionBy("lang").orderBy("key", "pieces")
     sample = cut.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "n", F.explode("pieces").alias("piece"))
     rows = sorted(tuple(r) for r in sample.collect())
