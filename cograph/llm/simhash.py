@@ -296,7 +296,12 @@ def clusters(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` with the smallest doc_id of their group, one a group, with all their columns."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ref"))
-    stay = clusters(docs, radius).groupBy("root").agg(best.alias("best")).select(F.col("best.ref").alias("__ref"))
+    return kept_rows(docs, clusters(docs, radius).groupBy("root").agg(best.alias("best")))
+
+
+def kept_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """One row of `docs` for each of `stay` (best.ref)."""
+    stay = stay.select(F.col("best.ref").alias("__ref"))
     same = W.partitionBy("__ref").orderBy(F.xxhash64(*docs.columns))
     held = docs.withColumn("__ref", F.xxhash64("doc_id", "text")).join(stay, "__ref", "left_semi")
     return held.withColumn("__n", F.row_number().over(same)).filter("__n = 1").select(docs.columns)

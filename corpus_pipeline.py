@@ -1,6 +1,7 @@
 """From documents to token files in five stages; each stage gets what its predecessor kept.
 
-Languages that the byte network does not recognise go; one document of each SimHash group stays; documents that hold
+Languages that the byte network does not recognise go; one document of each group of near
+copies (SimHash candidates, five-word Jaccard of 0.8 or more) stays; documents that hold
 a benchmark item go; sources are repeated to their target weights; the token ids of what is left are written.
 Stages but the last return the columns of their input. The tables in between are Parquet in the shared folder.
 """
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cograph.llm import contamination, language, mixing, simhash, tokens
+from cograph.llm import contamination, language, mixing, nearcopies, tokens
 from cograph.llm.common import table, written
 
 
@@ -18,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return nearcopies.one_of_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
