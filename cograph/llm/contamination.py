@@ -9,6 +9,10 @@ the threshold are scored in full. So nothing above the threshold is missed. What
 shares of the question's and of the answer's five-word runs that the passage holds (the answer is an item's last
 sentence, the question what stands before it; a single sentence is both).
 
+An item longer than a passage (128 words) is searched as a whole and in overlapping pieces of 64 words, each scored and
+verified like an item of its own; a passage that holds a piece holds the item. Its score is then the best piece's, its
+overlaps are the shares of the whole item's runs that the matching passages hold together.
+
 Items are dealt into chunks of a bounded number of words; each chunk's index is sent to the tasks and the documents
 are read once a chunk. Document frequencies are counted over all items.
 
@@ -34,6 +38,13 @@ from cograph.llm.common import WORD_SQL, ascii_lower, mapped, table, words_of
 THRESHOLD, OVERLAP, HALF, RUN, K1, B, SPARE, CHUNK_WORDS = 0.4, 0.3, 64, 5, 1.2, 0.75, 0.15, 2_000_000
 
 
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """The whole item of n words, and for one longer than a passage its pieces of HALF words, every half of that."""
+    if n <= 2 * HALF:
+        return [(0, n)]
+    return [(0, n), *[(at, at + HALF) for at in range(0, n - HALF, HALF // 2)], (n - HALF, n)]
+
+
 def runs_of(words: np.ndarray, n: int = RUN) -> np.ndarray:
     """Hashes of the runs of n words (of all words, if they are fewer)."""
     n = min(n, len(words))
@@ -57,33 +68,40 @@ class Index:
     """Postings of a chunk of items in arrays: for each word, items and impacts from its place on."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, threshold: float = THRESHOLD):
-        self.ids, self.words, self.impacts, self.question, self.answer, self.rest, self.lengths = [], [], [], [], [], [], []
+        self.ids, self.words, self.impacts, self.runs, self.rest, self.whole = [], [], [], [], [], []
+        #: Of each item, by the number of its first entry: the runs of question and answer, and the words of a run.
+        self.question, self.answer, self.lengths = {}, {}, {}
         self.threshold = threshold
         entries: list[tuple[int, int, float]] = []
-        for j, (item, text) in enumerate(items):
+        for item, text in items:
             parts = [p for p in re.split(r"(?<=[.?!])\s+|\n+", text) if re.search(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", p)]
             hashes, first = words_of(pa.array([text, " ".join(parts[:-1] or parts), parts[-1]], pa.string()))
             plain = re.findall(WORD_SQL, re.sub("[A-Z]", lambda m: m[0].lower(), text))
-            counts = Counter(plain)
-            norm = K1 * (1 - B + B * len(plain) / mean_words)
-            weigh = {w: log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in counts.items()}
-            own = sum(weigh.values())
             names = dict(zip(plain, hashes[: first[1]].tolist(), strict=True))
-            order = sorted(weigh, key=lambda w: (weigh[w], w))
-            left, spare = 0.0, min(SPARE, threshold / 2)
-            for w in order:
-                impact = weigh[w] / own
-                if left + impact < spare:
-                    left += impact
-                else:
-                    entries.append((names[w], j, impact))
-            self.ids.append(item)
-            self.words.append(np.array([names[w] for w in order], dtype=np.uint64))
-            self.impacts.append(np.array([weigh[w] / own for w in order]))
-            self.question.append(runs_of(hashes[first[1] : first[2]]))
-            self.answer.append(runs_of(hashes[first[2] : first[3]]))
-            self.lengths.append((min(RUN, first[2] - first[1]), min(RUN, first[3] - first[2])))
-            self.rest.append(left)
+            whole = len(self.ids)
+            self.question[whole] = runs_of(hashes[first[1] : first[2]])
+            self.answer[whole] = runs_of(hashes[first[2] : first[3]])
+            self.lengths[whole] = (min(RUN, first[2] - first[1]), min(RUN, first[3] - first[2]))
+            for low, high in pieces_of(len(plain)):
+                j = len(self.ids)
+                counts = Counter(plain[low:high])
+                norm = K1 * (1 - B + B * (high - low) / mean_words)
+                weigh = {w: log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in counts.items()}
+                own = sum(weigh.values())
+                order = sorted(weigh, key=lambda w: (weigh[w], w))
+                left, spare = 0.0, min(SPARE, threshold / 2)
+                for w in order:
+                    impact = weigh[w] / own
+                    if left + impact < spare:
+                        left += impact
+                    else:
+                        entries.append((names[w], j, impact))
+                self.ids.append(item)
+                self.words.append(np.array([names[w] for w in order], dtype=np.uint64))
+                self.impacts.append(np.array([weigh[w] / own for w in order]))
+                self.runs.append(runs_of(hashes[low:high]))
+                self.rest.append(left)
+                self.whole.append(whole)
         self.rest = np.array(self.rest)
         entries.sort()
         hashes = np.array([e[0] for e in entries], dtype=np.uint64)
@@ -139,6 +157,7 @@ class Index:
         item = key % len(self.ids)
         good = np.flatnonzero(total + self.rest[item] >= self.threshold - 1e-9)
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        seen: dict[tuple[int, int], list[np.ndarray]] = {}
         for k in good.tolist():
             half, j = divmod(int(key[k]), len(self.ids))
             r = int(np.searchsorted(halves, half, side="right")) - 1
@@ -147,10 +166,21 @@ class Index:
             score = float(self.impacts[j] @ held(self.words[j], np.sort(mine)))
             if score < self.threshold:
                 continue
-            q, a = (float(held(x, np.sort(runs_of(mine, n))).mean()) for x, n in zip((self.question[j], self.answer[j]), self.lengths[j]))
-            both = (q * len(self.question[j]) + a * len(self.answer[j])) / (len(self.question[j]) + len(self.answer[j]))
-            if both >= OVERLAP and score > out.get((r, j), (0,))[0]:
-                out[r, j] = (score, q, a)
+            whole = self.whole[j]
+            asked, told = (held(x, np.sort(runs_of(mine, n))) for x, n in zip((self.question[whole], self.answer[whole]), self.lengths[whole]))
+            if j == whole:
+                both = (asked.sum() + told.sum()) / (len(asked) + len(told))
+            else:
+                both = held(self.runs[j], np.sort(runs_of(mine))).mean()
+            if both < OVERLAP:
+                continue
+            if len(self.ids) > whole + 1 and self.whole[whole + 1] == whole:  # a long item is gathered from all its passages
+                had = seen.setdefault((r, whole), [np.zeros_like(asked), np.zeros_like(told)])
+                had[0] |= asked
+                had[1] |= told
+                out[r, whole] = (max(score, out.get((r, whole), (0,))[0]), float(had[0].mean()), float(had[1].mean()))
+            elif score > out.get((r, whole), (0,))[0]:
+                out[r, whole] = (score, float(asked.mean()), float(told.mean()))
         return [(r, self.ids[j], *x) for (r, j), x in sorted(out.items())]
 
 

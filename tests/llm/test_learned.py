@@ -97,6 +97,23 @@ def test_retrieval_is_complete():
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_long_items(spark):
+    """Items of more words than a passage, copied whole, in part, and not at all."""
+    rng = random.Random(12)
+    spoken = lambda n: " ".join(f"u{rng.randint(0, 1 << 30)}" for _ in range(n))
+    bench = [(i, f"{spoken(n - 20)}. What is it? {spoken(17)}.") for i, n in enumerate((140, 300, 500, 2000))]
+    whole = [row(i, f"{prose(rng, 37 * i, 3000)} {text} {prose(rng, 50, 3000)}") for i, text in bench]
+    part = [row(100 + i, f"{prose(rng, 90, 3000)} {' '.join(text.split()[70:140])} {prose(rng, 90, 3000)}") for i, text in bench]
+    clean = [row(200 + i, spoken(900)) for i in range(5)]
+    docs = spark.createDataFrame(whole + part + clean, COLUMNS)
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    got = contamination.contaminated(docs, table).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i, _ in bench] + [(100 + i, i) for i, _ in bench]
+    assert all(r.question_overlap > 0.99 and r.answer_overlap > 0.99 for r in got if r.doc_id < 100)
+    assert all(r.question_overlap < 0.6 for r in got if r.doc_id >= 100)
+    assert sorted(r.doc_id for r in contamination.decontaminate(docs, table).collect()) == [200 + i for i in range(5)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(400, 16)).astype(np.float32).tolist()
