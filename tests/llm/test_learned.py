@@ -163,6 +163,18 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_labels(spark):
+    """Unruled pages are judged by the labels given, or by the ruled pages, and never train themselves."""
+    unruled = [(i, f"https://{h}.example.com/en/{i}") for i in range(40) for h in ("casino", "news")]
+    ruled = [(100 + i, f"https://casino.example.com/de/{i}") for i in range(3)]
+    pages = spark.createDataFrame(unruled + ruled, "page_id long, url string")
+    given = [(f"https://casino.example.com/es/{i}", "block") for i in range(20)] + [(f"https://news.example.com/es/{i}", "allow") for i in range(20)]
+    got = urls.filter_urls(pages, labelled=spark.createDataFrame(given + [(None, "block"), ("https://x.com/", None)], "url string, label string")).filter("rule is null").collect()
+    assert len(got) == 80 and all(r.verdict == ("block" if r.host.startswith("casino") else "allow") and r.mined_rule for r in got)
+    own = urls.filter_urls(pages).filter("rule is null and host = 'casino.example.com'").collect()
+    assert len(own) == 40 and {r.verdict for r in own} == {"block"}
+
+
 def test_url_rules(spark):
     rows = [(["a", "b"], "block")] * 20 + [(["a", "c"], "allow")] * 20 + [(["c"], "allow")] * 5
     rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
