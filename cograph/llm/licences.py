@@ -1,10 +1,12 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document. A block meets a template if it holds at least `CONTAINMENT` of the template's
+A block is a line of a document, or a window of SPREAD times a template's number of words, from any word on and across
+line ends, so that a notice is found wherever its lines break. A block meets a template if it holds at least `CONTAINMENT` of the template's
 distinct words. The words of all templates are counted over all documents, and each template's words are ordered
 from the rarest on. A block can meet a template of n words, o of which it must hold, only if it holds one of the
 n - o + 1 rarest (prefix filter), has at least o words (length filter), and if the words of the template from the
-first held one on are still at least o (positional filter). What passes is counted in full, so the join is exact.
+first held one on are still at least o (positional filter). What passes is counted in full, so the join is exact. For windows, a
+whole document is joined like a block first: a window can only meet a template that its document meets.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z in lower case.
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cograph.llm.common import NOT_WORD, mapped, table, text_bytes, word_hashes, word_spans, words_of
 
-CONTAINMENT, ROWS = 0.9, 1024
+CONTAINMENT, SPREAD, ROWS = 0.9, 1.5, 1024
 
 #: Fixed by the contract: phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -68,6 +70,30 @@ class Matcher:
         self.prefix_at, flat = _ragged([[t for t, _ in x] for x in prefix])
         self.prefix = flat
         self.place = np.array([p for x in prefix for _, p in x], dtype=np.int64)
+        self.sets = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+        self.span = [ceil(SPREAD * len(_hash(t[1]))) for t in templates]
+
+    def windows(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float]]:
+        """(row, template, largest share of a window) of every pair that meets the threshold."""
+        out = []
+        rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for r, t, _ in zip(*(x.tolist() for x in self.match(words, rows))):
+            mine, want, span = words[first[r] : first[r + 1]], self.sets[t], self.span[t]
+            at = np.minimum(np.searchsorted(want, mine), len(want) - 1)
+            hits = np.flatnonzero(want[at] == mine)
+            term, hits = at[hits].tolist(), hits.tolist()
+            inside, low, distinct, most = [0] * len(want), 0, 0, 0
+            for x, place in zip(term, hits):
+                distinct += not inside[x]
+                inside[x] += 1
+                while place - hits[low] >= span:
+                    inside[term[low]] -= 1
+                    distinct -= not inside[term[low]]
+                    low += 1
+                most = max(most, distinct)
+            if most >= self.need[t]:
+                out.append((r, t, most / len(want)))
+        return out
 
     def match(self, words: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(block, template, share) of every pair that meets the threshold; `block` is sorted."""
@@ -180,6 +206,9 @@ def _judge(templates, counts: dict[int, int], containment: float):
                     for r, t, s in zip(row.tolist(), which.tolist(), share.tolist()):
                         labels[r].add(matcher.labels[t])
                         score[r] = max(score[r], s)
+                for r, t, s in matcher.windows(words, first):
+                    labels[r].add(matcher.labels[t])
+                    score[r] = max(score[r], s)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import brute
 import pytest
@@ -154,6 +155,20 @@ def test_licences(spark, odd_rows, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def wrapped(text, width):
+    return "\n".join(f" * {x}" for x in textwrap.wrap(text, width))
+
+
+def test_wrapped_licences(spark):
+    """Notices are found wherever their lines break, among other text; words far from each other are none."""
+    rows = [row(100 * w + i, f"Some text before\n\n{wrapped(t, w)}\n\nand more behind it") for w in (20, 40, 72) for i, (_, t) in enumerate(licences.TEMPLATES)]
+    apart = "\n".join(w + "\n" + "\n".join(f"other{i}" for i in range(30)) for w in licences.TEMPLATES[0][1].split())
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame([*rows, row(1, apart)], COLUMNS)).collect()}
+    for r in rows:
+        assert licences.TEMPLATES[r[0] % 100][0] in got[r[0]].labels.split(",") and got[r[0]].score == 1
+    assert got[1].labels == "" and got[1].score == 0
+
+
 def plain_targets(sizes, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weigh = {s: weights[i % len(weights)] for i, s in enumerate(names)}
