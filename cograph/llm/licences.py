@@ -32,7 +32,7 @@ CONTAINMENT, SPREAD, ROWS = 0.9, 1.5, 1024
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 #: Templates of this operator's own: a label and the words of a notice.
-TEMPLATES = (
+NOTICES = (
     ("apache-2.0", "licensed under the apache license version 2.0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-nc", "licensed under cc by nc 4.0"),
@@ -44,6 +44,19 @@ TEMPLATES = (
     ("no-copy", "no part of this publication may be reproduced distributed or transmitted in any form without prior written permission"),
 )
 
+#: What the short grant lines name ("Released under the MIT License").
+NAMES = (
+    ("apache-2.0", "the apache license version 2.0"),
+    ("bsd", "the bsd license"),
+    ("cc-by-nc", "cc by nc 4.0"),
+    ("cc-by-sa", "cc by sa 4.0"),
+    ("gpl-3.0", "the gnu general public license version 3"),
+    ("lgpl", "the gnu lesser general public license"),
+    ("mit", "the mit license"),
+    ("mpl-2.0", "the mozilla public license version 2.0"),
+)
+TEMPLATES = tuple(dict.fromkeys((*NOTICES, *((label, f"{verb} under {name}") for label, name in NAMES for verb in ("licensed", "released", "distributed")))))
+
 
 def _hash(text: str) -> np.ndarray:
     return words_of(pa.array([text], pa.string()))[0]

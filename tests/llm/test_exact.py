@@ -169,6 +169,18 @@ def test_wrapped_licences(spark):
     assert got[1].labels == "" and got[1].score == 0
 
 
+GRANTS = {"apache-2.0": "Licensed under the Apache License, Version 2.0.", "bsd": "Distributed under the BSD license.", "cc-by-nc": "Released under CC BY-NC 4.0.", "cc-by-sa": "Distributed under CC BY-SA 4.0", "gpl-3.0": "Released under the GNU General Public License, version 3", "lgpl": "Released under the GNU Lesser General Public License.", "mit": "Released under the MIT License.", "mpl-2.0": "Licensed under the Mozilla Public License, version 2.0"}
+
+
+def test_grant_lines(spark):
+    rows = [row(i, f"Some words.\n{text}\nMore words.") for i, text in enumerate(GRANTS.values())]
+    rows += [row(50, "Licensed under the\nMIT license"), row(51, "Mit der Lizenz the MIT licence was released")]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, COLUMNS)).collect()}
+    for i, label in enumerate(GRANTS):
+        assert label in got[i].labels.split(",") and got[i].score == 1
+    assert got[50].labels == "mit" and got[51].labels == ""
+
+
 def plain_targets(sizes, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weigh = {s: weights[i % len(weights)] for i, s in enumerate(names)}
