@@ -20,10 +20,9 @@ from cograph.operators.rows import top_k
 QUERY_ROWS = 4096
 
 
-def _unit(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list array at length 1 in double precision, and which rows hold a vector of the common length."""
+def _unit(batch: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list array at length 1 in double precision, and which rows hold a vector of `dim` numbers."""
     sizes = np.diff(batch.offsets.to_numpy())
-    dim = int(sizes.max()) if len(sizes) else 0
     good = (sizes == dim) & (dim > 0)
     flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out = flat[np.repeat(good, sizes)].reshape(-1, dim) if dim else np.zeros((0, 0))
@@ -38,8 +37,8 @@ def _best(ids: np.ndarray, matrix: np.ndarray, k: int, labels: bool):
         heaps: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
         names: dict[str | None, list] = {}
         for batch in batches:
-            unit, good = _unit(batch.column("vector"))
-            if not len(unit) or unit.shape[1] != matrix.shape[1]:
+            unit, good = _unit(batch.column("vector"), matrix.shape[1])
+            if not len(unit):
                 continue
             kb = batch.column("kb_id").to_numpy(zero_copy_only=False)[good]
             tags = np.array(batch.column("label").to_pylist(), dtype=object)[good] if labels else np.array([None] * len(kb), dtype=object)
@@ -75,8 +74,10 @@ def nearest(queries: DataFrame, kb: DataFrame, k: int = C.NEIGHBOURS, by_label:
             continue
         vectors = mine.column("vector").combine_chunks()
         vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
-        unit, good = _unit(vectors)
-        found.append(rows.mapInArrow(_best(mine.column("query_id").to_numpy()[good], unit, k, by_label), schema))
+        for dim in np.unique(np.diff(vectors.offsets.to_numpy())).tolist():  # queries meet the vectors of their own length
+            if dim:
+                unit, good = _unit(vectors, dim)
+                found.append(rows.mapInArrow(_best(mine.column("query_id").to_numpy()[good], unit, k, by_label), schema))
     if not found:
         return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
     best = top_k(reduce(DataFrame.unionByName, found), ["query_id", "label"] if by_label else ["query_id"], k, F.desc("score"), "kb_id")
