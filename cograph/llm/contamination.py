@@ -4,7 +4,7 @@ A passage is a window of two neighbouring halves of 64 words, so every run of up
 score of an item is its BM25 score for the passage's distinct words, divided by its score for its own words; all
 items of at least `THRESHOLD` are retrieved. As in WAND, an item's weakest words, which together cannot lift it over
 the threshold, have no postings in the first pass; the postings of the others are added up for each passage, and
-only items whose sum plus the most that the left-out words could add (the bound kept for the item's block) reaches
+only items whose sum plus the most that the left-out words could add (one bound an item, in place of block-max WAND's blocks) reaches
 the threshold are scored in full. So nothing above the threshold is missed. What is retrieved is verified by the
 shares of the question's and of the answer's five-word runs that the passage holds (the answer is an item's last
 sentence, the question what stands before it; a single sentence is both).
