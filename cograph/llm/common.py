@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a local session gets a temporary one; on a cluster that would be a folder of one machine: an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cograph-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,9 +69,14 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes `df` to the shared folder and reads it back: lineage is cut and survives lost executors."""
+    """Writes `df` to the shared folder and reads it back: lineage is cut and survives lost executors.
+
+    What no step removes before (a result may still be read from it) goes when the application ends.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -81,12 +93,20 @@ def _tidy(function):
     return run
 
 
+def _lowered(spark: SparkSession, key: str, most: str) -> None:
+    """Lowers a batch limit of the session where it is unset or higher. Plans are made when a result is used, so it stays."""
+    number = lambda x: int(re.sub(r"\D", "", x)) << {"k": 10, "m": 20, "g": 30}.get(x.rstrip("b")[-1:], 0)
+    now = spark.conf.get(key, None)
+    if not now or now.startswith("-") or not number(now) or number(now) > number(most):
+        spark.conf.set(key, most)
+
+
 def mapped(function, schema):
     """For DataFrame.transform: mapInArrow with batches of a bounded size, as texts may be long."""
 
     def apply(df: DataFrame) -> DataFrame:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        _lowered(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        _lowered(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         return df.mapInArrow(_tidy(function), schema)
 
     return apply
@@ -99,19 +119,6 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(max(n, 1 << 16), _BASE, dtype=np.uint64)
-        out[0] = 1
-        _POWERS = np.multiply.accumulate(out)
-    return _POWERS
-
-
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array (null: empty) and the n + 1 offsets of its rows."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -144,33 +151,32 @@ def word_spans(raw: np.ndarray, at: np.ndarray, space: np.ndarray = _IS_SPACE) -
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+LONG_WORD = 64
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands.
+
+    Eight bytes at a time go through a mixing step that is one-to-one for what was before, so words of one length of
+    up to 8 bytes never hash alike, and no algebra of long words carries over. Very long words are hashed one by one.
+    """
+    sizes = ends - starts
+    out = splitmix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    longest = int((ends - starts).max())
-    powers, out = _powers(longest), np.zeros(len(starts), dtype=np.uint64)
-    if longest <= 48:
-        # Column by column: byte k of all words that have one.
-        live = np.arange(len(starts))
-        for k in range(longest):
-            live = live[(ends[live] - starts[live]) > k] if k else live
-            out[live] += (raw[starts[live] + k].astype(np.uint64) + np.uint64(1)) * powers[k]
-    else:
-        short = (ends - starts) <= 48
-        out[short] = word_hashes_raw(raw, starts[short], ends[short])
-        for i in np.flatnonzero(~short):
-            piece = raw[starts[i] : ends[i]].astype(np.uint64) + np.uint64(1)
-            out[i] = (piece * powers[: len(piece)]).sum(dtype=np.uint64)
-    return splitmix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def word_hashes_raw(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out, live = np.zeros(len(starts), dtype=np.uint64), np.arange(len(starts))
-    powers = _powers(64)
-    for k in range(int((ends - starts).max()) if len(starts) else 0):
-        live = live[(ends[live] - starts[live]) > k] if k else live
-        out[live] += (raw[starts[live] + k].astype(np.uint64) + np.uint64(1)) * powers[k]
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    live = np.flatnonzero(sizes <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        live = live[sizes[live] > k]
+        if not len(live):
+            break
+        piece = eight[starts[live] + k]
+        short = np.minimum(sizes[live] - k, 8).astype(np.uint64)
+        piece &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short)
+        out[live] = splitmix((out[live] ^ piece) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
     return out
 
 
