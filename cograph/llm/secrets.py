@@ -1,9 +1,10 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its content (its blob). The ledger is a Parquet table
-of (blob, rules, findings): which rule versions a blob has been scanned with, and what was found. A scan takes one
-copy of each blob that lacks some rule version, runs only the missing rules, appends to the ledger, and joins the
-findings back to all paths, so copies and unchanged files cost a hash and a join.
+of (blob, rules, findings): which rule versions a blob has been scanned with, and what each version found. A scan
+takes one copy of each blob that lacks some rule version, runs only the missing rules, appends to the ledger, and joins
+the findings of the versions asked for back to all paths, so copies and unchanged files cost a hash and a join.
+Findings of other versions stay in the ledger and are not returned; what two scans of one version added counts once.
 
 Spans are in code points with an exclusive end. A rule's matches are leftmost and non-overlapping; those whose
 judged part is too short are dropped after matching, so they still use up their text.
@@ -41,14 +42,14 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, False),
 )
 
-FINDINGS = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
+FINDINGS = "array<struct<start:bigint,end:bigint,kind:string,rule:string>>"
 
 
 def rule_name(rule: Rule) -> str:
     return f"{rule.kind}@{rule.version}"
 
 
-def spans_of(text: Column, rule: Rule, place: int) -> Column:
+def spans_of(text: Column, rule: Rule) -> Column:
     """The spans of one rule: the pieces between matches and the matches themselves add up to positions."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
@@ -59,7 +60,7 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     def step(state: Column, x: Column) -> Column:
         at = state["at"] + F.coalesce(x["gap"], F.lit(0))
         end = at + F.coalesce(x["long"], F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(at.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule_name(rule)).alias("rule"))
         return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
     return F.when(text.rlike(rule.pattern), F.aggregate(found, start, step, lambda s: s["spans"])).otherwise(F.array().cast(FINDINGS))
@@ -86,11 +87,14 @@ def scan_incremental(versions: DataFrame, ledger: str, text: str = "text", rules
         blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
     one = blobs.groupBy("blob").agg(F.first("body").alias("body"), F.first("seen").alias("seen"))
     todo = F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>")))
-    found = [F.when(F.array_contains(todo, n), spans_of(F.col("body"), r, i)).otherwise(F.array().cast(FINDINGS)) for i, (n, r) in enumerate(zip(names, rules, strict=True))]
+    found = [F.when(F.array_contains(todo, n), spans_of(F.col("body"), r)).otherwise(F.array().cast(FINDINGS)) for n, r in zip(names, rules, strict=True)]
     one.select("blob", todo.alias("rules"), F.concat(*found).alias("findings")).write.mode("append").parquet(ledger)
-    ours = F.array(*[F.lit(r.kind) for r in rules])
-    by_blob = read_ledger(spark, ledger).filter(F.size("findings") > 0).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
-    by_blob = by_blob.withColumn("findings", F.array_sort(F.filter("findings", lambda s: F.array_contains(ours, s["kind"]))))
+    # Of the versions asked for, by start and then in the order of the rules.
+    place = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    asked = F.filter("findings", lambda x: F.array_contains(F.array(*map(F.lit, names)), x["rule"]))
+    placed = F.transform(asked, lambda x: F.struct(x["start"].alias("start"), place[x["rule"]].alias("place"), x["end"].alias("end"), x["kind"].alias("kind")))
+    by_blob = read_ledger(spark, ledger).select("blob", placed.alias("findings")).filter(F.size("findings") > 0)
+    by_blob = by_blob.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
     return versions.withColumn("blob", F.sha2(content, 256)).drop(text), by_blob
 
 
@@ -102,7 +106,7 @@ def secrets(docs: DataFrame, ledger: str) -> DataFrame:
     """The digest that op4 returns for each row of `docs` (doc_id, text)."""
     paths, findings = scan_incremental(docs.select("doc_id", "text"), ledger)
     base = F.array(*[F.lit(r.kind) for r in RULES if r.base])
-    spans = F.coalesce("findings", F.array().cast(FINDINGS))
+    spans = F.coalesce("findings", F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>"))
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return paths.join(findings, "blob", "left").select(
         "doc_id",
