@@ -6,12 +6,14 @@ are the mean over all its windows, so the whole text counts. A filter's weights
 lets prediction look up the responses of byte pairs in tables instead of multiplying: three lookups a byte.
 
 Training takes a bounded sample: for each language, `PER_LANGUAGE` documents in the order of a seeded hash, with
-`PIECES` windows each (and at most `MAX_LANGUAGES` languages, the most frequent ones); rows beyond `SPARE` times
-that number are passed over by their hash beforehand, so no task gets more. The query learns only from
-documents whose crc32 of the id is not 2 modulo 4, and no prediction looks at lang, source or doc_id.
+`PIECES` windows each; with very many languages fewer documents each, so that at most `SAMPLE` are taken in all, but
+every language that a label names is learned. Rows beyond `SPARE` times that number are passed over by their hash
+beforehand, so no task gets more. The query learns only from documents whose crc32 of the id is not 2 modulo 4, and no
+prediction looks at lang, source or doc_id.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without labelled text everything is
-`und`; a null doc_id is not held out and not learned from; repeated rows stay; an empty table gives no rows.
+`und`; a null doc_id is not held out and not learned from; repeated rows stay; an empty table gives no rows; columns
+of the input called lang_pred or score are replaced by the result's; more labels than `SAMPLE` are an error.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from cograph.llm.common import mapped, table, text_bytes
 
 WINDOW, WIDTHS, FILTERS, SEED = 256, (3, 4, 5), 8, 7
-PER_LANGUAGE, PIECES, MAX_LANGUAGES, SPARE, STEPS, BATCH = 400, 3, 256, 4, 500, 64
+PER_LANGUAGE, PIECES, SAMPLE, SPARE, STEPS, BATCH = 400, 3, 100_000, 4, 500, 64
 UNKNOWN, LEAST_SCORE = "und", 0.3
 _TAPS = max(WIDTHS)
 _MASK = np.repeat(np.array([[k < w for w in WIDTHS] for k in range(_TAPS)]), FILTERS, axis=1)
@@ -49,11 +51,11 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: int, steps: int = ST
     weights = (rng.normal(0, 0.1, (_TAPS, 256, filters)) * _MASK[:, None, :]).astype(np.float32)
     params = [weights, np.zeros(filters, np.float32), rng.normal(0, 0.3, (filters, classes)).astype(np.float32), np.zeros(classes, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    span = WINDOW - _TAPS + 1
+    span, steps = WINDOW - _TAPS + 1, max(steps, steps * classes // BATCH)
     by_class = [np.flatnonzero(labels == c) for c in range(classes)]
     by_class = [x for x in by_class if len(x)]
     for step in range(1, steps + 1):
-        pick = np.array([x[rng.integers(len(x))] for x in (by_class[i % len(by_class)] for i in range(BATCH))])
+        pick = np.array([x[rng.integers(len(x))] for x in (by_class[(step * BATCH + i) % len(by_class)] for i in range(BATCH))])
         x, y = windows[pick], labels[pick]
         response = params[0][0][x[:, :span]]
         for k in range(1, _TAPS):
@@ -82,7 +84,7 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: int, steps: int = ST
 class Network:
     """A trained network with its lookup tables in 16-bit integers."""
 
-    _kept: tuple[bytes, Network] | None = None
+    _kept: tuple[tuple, Network] | None = None
 
     def __init__(self, languages: list[str], params: tuple[np.ndarray, ...]):
         self.languages, (weights, self.bias, self.out, self.shift) = languages, params
@@ -95,7 +97,7 @@ class Network:
 
     @classmethod
     def of(cls, languages: list[str], params: tuple[np.ndarray, ...]) -> Network:
-        mark = params[0].tobytes()
+        mark = (tuple(languages), *(p.tobytes() for p in params))
         if cls._kept is None or cls._kept[0] != mark:
             cls._kept = (mark, cls(languages, params))
         return cls._kept[1]
@@ -143,16 +145,19 @@ class Network:
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], tuple[np.ndarray, ...]] | None:
     """Trains on a bounded sample of rows (text, lang, key); key: what the sample is ordered by."""
-    frequent = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    frequent = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(SAMPLE + 1).collect()
     languages = sorted(r.lang for r in frequent)
     if not languages:
         return None
+    if len(languages) > SAMPLE:
+        raise ValueError(f"more than {SAMPLE} labels: these are no languages")
+    per_language = min(per_language, max(1, SAMPLE // len(languages)))
     # Rows of large languages are thinned by their key to a few times what is wanted before they meet in a task.
     rates = F.create_map(*[F.lit(x) for r in frequent for x in (r.lang, min(1.0, SPARE * per_language / r.n))])
     thin = F.shiftrightunsigned("key", 11) / float(1 << 53) <= rates[F.col("lang")]
     spread = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
     piece = [F.substring("text", F.pmod(F.xxhash64(F.lit(i), "key"), spread).cast("int") + 1, F.lit(WINDOW)) for i in range(PIECES)]
-    cut = labelled.filter(F.col("lang").isin(languages)).filter(thin).select("lang", "key", F.array(*piece).alias("pieces"))
+    cut = labelled.filter(thin).select("lang", "key", F.array(*piece).alias("pieces"))
     order = W.partitionBy("lang").orderBy("key", "pieces")
     sample = cut.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "n", F.explode("pieces").alias("piece"))
     rows = sorted(tuple(r) for r in sample.collect())
@@ -183,7 +188,8 @@ def trained(docs: DataFrame):
 
 
 def identify(docs: DataFrame, model) -> DataFrame:
-    """`docs` (with text) and lang_pred and score; `docs` must not have columns of these names."""
+    """`docs` (with text) and lang_pred and score, which replace columns of these names."""
+    docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.transform(mapped(_predictor(model), schema))
 
