@@ -7,11 +7,12 @@ weight until none is above its cap.
 
 The words of a source are then taken as whole repetitions of all its documents and one fractional repetition:
 documents in the order of a seeded hash until the rest of the target is reached. To find that place without
-sorting a hot source in one task, sums are first made by 4,096 hash buckets; only the bucket in which the target
-falls is sorted.
+sorting a hot source in one task, sums are first made by 4,096 hash buckets, then by 4,096 more in the bucket in which
+the target falls; only the rows of the last one are sorted.
 
 Defined cases: null text counts as size 0; a null source is a source of its own and comes last; rows with equal
-ids are ordered by size; an empty table gives an empty result; sources without words have target 0.
+ids are ordered by size and then by their text, so reruns take the same text; rows without an id are ordered by their
+text; columns of any name are kept as they are; an empty table gives an empty result; sources without words have target 0.
 """
 
 from __future__ import annotations
@@ -44,13 +45,33 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
-SIZE, KEY = "__size", "__key"
+DIGITS = 3  # hexadecimal digits of the seeded key that name a bucket
 
 
-def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """`docs` with its number of words and its place in the seeded order."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.withColumn(SIZE, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn(KEY, key)
+def measured(docs: DataFrame, seed: str = SEED, keep: bool = False) -> DataFrame:
+    """source, doc_id, size, key (the seeded order) and tie (what orders equal keys); keep: and each row whole, as `row`."""
+    text = F.md5(F.coalesce("text", F.lit("")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), text))))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep else []
+    return docs.select("source", "doc_id", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *whole)
+
+
+def _same(a, b):
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _edges(sized: DataFrame, asked: DataFrame, first: int) -> DataFrame:
+    """Where `part` words of a source are reached: asked (source, part, prefix) with the bucket and the words before it.
+
+    The buckets are named by DIGITS digits of the key from `first` on, within the prefix found so far.
+    """
+    inside = sized.withColumn("prefix", F.substring("key", 1, first - 1)).withColumn("bucket", F.substring("key", 1, first + DIGITS - 1))
+    sums = inside.groupBy("source", "prefix", "bucket").agg(F.sum("size").alias("words")).alias("s")
+    held = sums.join(asked.alias("a"), _same("s.source", "a.source") & (F.col("s.prefix") == F.col("a.prefix"))).select(F.col("s.source").alias("source"), "bucket", "words", "part", "ahead")
+    upto = held.withColumn("upto", F.col("ahead") + F.sum("words").over(W.partitionBy("source").orderBy("bucket")))
+    low = F.col("upto") - F.col("words")
+    return upto.filter((low < F.col("part")) & (F.col("part") <= F.col("upto"))).select("source", "part", F.col("bucket").alias("prefix"), low.alias("ahead"))
 
 
 def rulings(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -59,42 +80,39 @@ def rulings(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn(
         "part", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    sums = sized.groupBy("source", F.substring(KEY, 1, 3).alias("bucket")).agg(F.sum("size").alias("words"))
-    upto = sums.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bucket")))
-    edge = (
-        upto.alias("u")
-        .join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
-        .filter((F.col("upto") - F.col("words") < F.col("part")) & (F.col("part") <= F.col("upto")))
-        .select(F.col("u.source").alias("source"), F.col("bucket").alias("edge"), (F.col("upto") - F.col("words")).alias("before"))
-    )
-    ruled = targets.alias("t").join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select(F.struct("t.*", "edge", "before").alias("__r"))
-    return written(ruled, "mix-rulings")[0]
+    start = targets.select("source", "part", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("ahead"))
+    edge = _edges(sized, _edges(sized, start, 1), 1 + DIGITS)
+    ruled = targets.alias("t").join(edge.alias("e"), _same("t.source", "e.source"), "left")
+    return written(ruled.select("t.source", "source_size", "target", "whole", F.col("t.part").alias("part"), F.col("prefix").alias("edge"), F.col("ahead").alias("before")), "mix-rulings")[0]
 
 
 def repeated(rows: DataFrame, ruled: DataFrame) -> DataFrame:
-    """`rows` (measured) with __r, their source's ruling, and __times, how often the mix takes them."""
-    bucket, r = F.substring(KEY, 1, 3), F.col("__r")
-    both = rows.join(ruled, rows["source"].eqNullSafe(r["source"]))
-    on_edge = bucket == r["edge"]
-    order = W.partitionBy("source").orderBy(KEY, "doc_id", SIZE).rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = both.filter(on_edge).withColumn("__upto", r["before"] + F.sum(SIZE).over(order))
-    edged = upto.withColumn("__times", r["whole"] + (2 * F.col("__upto") - F.col(SIZE) <= 2 * r["part"]).cast("long")).drop("__upto")
-    clear = both.filter(~F.coalesce(on_edge, F.lit(False))).withColumn("__times", r["whole"] + F.coalesce(bucket < r["edge"], F.lit(False)).cast("long"))
+    """`rows` (measured) with source_size, target and times, how often the mix takes them."""
+    bucket = F.substring("key", 1, 2 * DIGITS)
+    both = rows.join(ruled.withColumnRenamed("source", "of"), _same("source", "of")).drop("of")
+    on_edge = F.coalesce(bucket == F.col("edge"), F.lit(False))
+    order = W.partitionBy("source").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = both.filter(on_edge).withColumn("upto", F.col("before") + F.sum("size").over(order))
+    edged = upto.withColumn("times", F.col("whole") + (2 * F.col("upto") - F.col("size") <= 2 * F.col("part")).cast("long")).drop("upto")
+    clear = both.filter(~on_edge).withColumn("times", F.col("whole") + F.coalesce(bucket < F.col("edge"), F.lit(False)).cast("long"))
     return clear.unionByName(edged)
 
 
+def _ruled(docs: DataFrame, weights, share: float, cap: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    narrow, _ = written(measured(docs, seed), "mix-sizes")
+    return narrow, rulings(narrow, weights, share, cap)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of `docs` (doc_id, text, source; more are ignored)."""
-    narrow, _ = written(measured(docs.select("doc_id", "source", "text"), seed).drop("text").withColumn("size", F.col(SIZE)), "mix-sizes")
-    out = repeated(narrow, rulings(narrow, weights, share, cap))
-    return out.select("doc_id", "size", F.col("__r.source_size").alias("source_size"), F.col("__r.target").alias("target"), (F.col("size") * F.col("__times")).alias("taken"))
+    narrow, ruled = _ruled(docs, weights, share, cap, seed)
+    return repeated(narrow, ruled).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, with all their columns."""
-    narrow, _ = written(measured(docs.select("doc_id", "source", "text"), seed).drop("text").withColumn("size", F.col(SIZE)), "mix-sizes")
-    taken = repeated(measured(docs, seed), rulings(narrow, weights, share, cap)).filter("__times > 0")
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(docs.columns)
+    taken = repeated(measured(docs, seed, keep=True), _ruled(docs, weights, share, cap, seed)[1]).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -105,7 +123,7 @@ def mixing_sql(docs: str = "documents", seed: str = SEED) -> str:
     return rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM {docs}),
+         md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS k FROM {docs}),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM totals),
 reached AS (SELECT *, source_size * 2.0::DOUBLE AS most, source_size * 2.0::DOUBLE / weight AS reach,

@@ -36,6 +36,30 @@ def test_language(spark, odd, empty):
     assert again == {k: tuple(v) for k, v in got.items()}
 
 
+def test_language_networks_are_apart():
+    """Two networks with the same filters are two networks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    windows = rng.integers(97, 122, (40, language.WINDOW)).astype(np.uint8)
+    params = language.train(windows, np.arange(40) % 2, 2, steps=3)
+    flipped = (params[0], params[1], params[2][:, ::-1].copy(), params[3][::-1].copy())
+    say = lambda names, p: language.Network.of(names, p).predict(pa.array(["abc def"]))[0][0]
+    first = say(["x", "y"], params)
+    assert say(["x", "y"], flipped) != first and say(["de", "en"], params) in ("de", "en") and say(["x", "y"], params) == first
+
+
+def test_language_columns_and_labels(spark):
+    """Columns of the result's names are replaced; every label is learned, however many there are."""
+    rng = random.Random(2)
+    rows = [row(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * rng.randint(20, 40), f"l{i % 70:03d}") for i in range(600)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    model = language.trained(docs)
+    assert len(model[0]) == 70
+    got = language.identify(docs, model)
+    assert got.columns == [*[c for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score"] and got.filter("score is null").count() == 0
+
+
 def test_language_windows():
     raw = np.frombuffer(b"a" * 300 + b"b" * 10, dtype=np.uint8)
     windows, first = language.windows_of(raw, np.array([0, 300, 300, 310]))
