@@ -2,11 +2,13 @@
 
 A block is a line of a document, or a window of SPREAD times a template's number of words, from any word on and across
 line ends, so that a notice is found wherever its lines break. A block meets a template if it holds at least `CONTAINMENT` of the template's
-distinct words. The words of all templates are counted over all documents, and each template's words are ordered
-from the rarest on. A block can meet a template of n words, o of which it must hold, only if it holds one of the
-n - o + 1 rarest (prefix filter), has at least o words (length filter), and if the words of the template from the
-first held one on are still at least o (positional filter). What passes is counted in full, so the join is exact. For windows, a
-whole document is joined like a block first: a window can only meet a template that its document meets.
+distinct words. The words of all templates are counted over all documents and numbered from the rarest on; the words
+of templates and of blocks (those that stand in some template) are put in that one order. A block can meet a template
+of n words, o of which it must hold, only if it holds one of the template's n - o + 1 rarest (prefix filter), has at
+least o words (length filter), and if from the first such word on, which is place i of the template and place j of the
+block, both still have o words (positional filter: what is rarer than that word is not shared). What passes is counted
+in full, so the join is exact. For windows, a whole document is joined like a block first: a window can only meet a
+template that its document meets.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z in lower case.
 
@@ -67,18 +69,21 @@ class Matcher:
 
     def __init__(self, templates, counts: dict[int, int], containment: float = CONTAINMENT):
         self.labels = [t[0] for t in templates]
-        sets = [sorted(set(_hash(t[1]).tolist()), key=lambda h: (counts.get(h, 0), h)) for t in templates]
+        sets = [set(_hash(t[1]).tolist()) for t in templates]
+        # Terms in the order of the search (by hash), and the place of each in the one order of all words (rarest first).
         self.terms = np.unique(np.array([h for s in sets for h in s], dtype=np.uint64))
-        number = {int(h): i for i, h in enumerate(self.terms)}
+        ordered = sorted(self.terms.tolist(), key=lambda h: (counts.get(h, 0), h))
+        number = {h: i for i, h in enumerate(ordered)}
+        self.number = np.array([number[h] for h in self.terms.tolist()], dtype=np.int64)
         self.size = np.array([len(s) for s in sets])
         self.need = np.array([ceil(containment * len(s) - 1e-9) for s in sets])
         prefix: list[list[tuple[int, int]]] = [[] for _ in self.terms]
         member: list[list[int]] = [[] for _ in self.terms]
         for t, s in enumerate(sets):
-            for place, h in enumerate(s):
-                member[number[h]].append(t)
+            for place, n in enumerate(sorted(number[h] for h in s)):
+                member[n].append(t)
                 if place <= self.size[t] - self.need[t]:
-                    prefix[number[h]].append((t, place))
+                    prefix[n].append((t, place))
         self.member_at, self.member = _ragged(member)
         self.prefix_at, flat = _ragged([[t for t, _ in x] for x in prefix])
         self.prefix = flat
@@ -115,21 +120,26 @@ class Matcher:
             return nothing
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         hit = np.flatnonzero(self.terms[at] == words)
-        term, mine = at[hit], block[hit]
-        n = len(self.labels)
-        rare = np.flatnonzero(np.diff(self.prefix_at)[term] > 0)
-        which, entry = _expand(self.prefix_at, term[rare])
-        pair, place = mine[rare][which] * n + self.prefix[entry], self.place[entry]
+        if not len(hit):
+            return nothing
+        n, many = len(self.labels), len(self.terms)
+        # The distinct words of each block that stand in templates, in the one order; what each block has from there on.
+        once = np.unique(block[hit] * many + self.number[at[hit]])
+        mine, term = once // many, once % many
+        rest = np.searchsorted(mine, mine, side="right") - np.arange(len(mine))
         length = np.bincount(block, minlength=int(block[-1]) + 1)
-        t = pair % n
-        pair = pair[(length[pair // n] >= self.need[t]) & (self.size[t] - place >= self.need[t])]
-        pair = np.unique(pair)
+        which, entry = _expand(self.prefix_at, term)
+        pair, place, left = mine[which] * n + self.prefix[entry], self.place[entry], rest[which]
+        # Of each pair, the first shared word of the prefix decides: pairs are in the block's order of words.
+        pair, first = np.unique(pair, return_index=True)
+        t, place, left = pair % n, place[first], left[first]
+        pair = pair[(length[pair // n] >= self.need[t]) & (np.minimum(self.size[t] - place, left) >= self.need[t])]
+        self.passed = len(pair)
         if not len(pair):
             return nothing
         inside = np.isin(mine, np.unique(pair // n))
-        once = np.unique(mine[inside] * len(self.terms) + term[inside])
-        which, entry = _expand(self.member_at, once % len(self.terms))
-        got, held = np.unique((once // len(self.terms))[which] * n + self.member[entry], return_counts=True)
+        which, entry = _expand(self.member_at, term[inside])
+        got, held = np.unique(mine[inside][which] * n + self.member[entry], return_counts=True)
         good = (held >= self.need[got % n]) & np.isin(got, pair)
         got, held = got[good], held[good]
         return got // n, got % n, held / self.size[got % n]
