@@ -1,14 +1,15 @@
 """Token-ID output as one wavelet-matrix file per shard.
 
-Documents are dealt to shards by ranges of doc_id and sorted. A shard's file is one Parquet file whose rows are
+Documents are dealt to shards by ranges of doc_id (and of their texts' hashes, where ids are equal) and sorted. A shard's file is one Parquet file whose rows are
 segments of whole documents (about 131,000 tokens each: memory is bounded and planes fit the processor's cache); a segment holds its document ids
 and lengths and the wavelet matrix of its token ids: one packed bit plane for each bit of an id from the highest
 down, the number of zeros of each plane, and cumulative counts of ones every 512 bits. Access, counting and finding
 occurrences of a token touch one bit of each plane; reading everything back undoes the stable partitions plane by
-plane. Files go through Spark's own writer, so any store that Spark reaches will do.
+plane. `Shard` does so for one file, `token_counts` and `occurrences` for all files. Files go through Spark's own writer, so any store that Spark reaches will do.
 
 Encoding: the tokenizer never merges over white space, nor between a letter and a following full stop or comma, so
 each distinct piece of a batch is encoded once by the library and its ids are gathered for every place it stands at.
+Pieces are compared in lower case, as the tokenizer does it, save those with a "<": special tokens are known by case.
 
 Defined cases: null text is empty and gives the end id alone; a null id sorts first; rows with equal ids stay, in
 the order of a hash of their texts; an empty table gives no rows.
@@ -88,15 +89,27 @@ class WaveletMatrix:
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
+    def _place(self, level: int, bit: int, k: int) -> int:
+        """The place of one (or zero) number k of a plane: by the directory, then by the bytes of one block."""
+        ranks = self.ranks[level].astype(np.int64)
+        before = ranks if bit else np.arange(len(ranks)) * RANK_STEP - ranks
+        block = int(np.searchsorted(before, k, side="right")) - 1
+        at = block * RANK_STEP // 8
+        ones = np.unpackbits(self.planes[level][at : at + RANK_STEP // 8])
+        return block * RANK_STEP + int(np.flatnonzero(ones == bit)[k - int(before[block])])
+
     def select(self, value: int, k: int) -> int:
-        """The place of occurrence k (from 0) of `value`."""
+        """The place of occurrence k (from 0) of `value`: down to where its run begins in the last plane, then back up."""
         if not 0 <= k < self.count(value):
             raise IndexError(k)
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (mid + 1, high) if self.rank(value, mid + 1) <= k else (low, mid)
-        return low
+        low, bits = 0, [value >> (self.depth - 1 - level) & 1 for level in range(self.depth)]
+        for level, bit in enumerate(bits):
+            ones = self._ones(level, low)
+            low = self.zeros[level] + ones if bit else low - ones
+        at = low + k
+        for level in range(self.depth - 1, -1, -1):
+            at = self._place(level, bits[level], at - self.zeros[level] if bits[level] else at)
+        return at
 
     def occurrences(self, value: int) -> list[int]:
         return [self.select(value, k) for k in range(self.count(value))]
@@ -153,8 +166,10 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the number of ids of each (with the end id)."""
         raw, at = text_bytes(texts)
-        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         starts, ends, first = word_spans(raw, at)
+        given, raw = raw, np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+        for i in np.unique(np.searchsorted(starts, np.flatnonzero(given == 60), side="right") - 1).tolist():
+            raw[starts[i] : ends[i]] = given[starts[i] : ends[i]]
         long = ends - starts > 1
         last, before = raw[ends - 1], raw[np.maximum(ends - 2, 0)]
         ahead = raw[np.maximum(ends - 3, 0)]
@@ -250,7 +265,88 @@ def _read_segments(batches):
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str) -> None:
     """Writes doc_id and text of `docs` to `out`, one file a shard, in ascending doc_id order."""
-    docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).transform(mapped(_encode_shard(tokenizer), SEGMENT)).write.parquet(out)
+    order = ["doc_id", F.xxhash64("text")]
+    docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order).transform(mapped(_encode_shard(tokenizer), SEGMENT)).write.parquet(out)
+
+
+def _matrix(row) -> WaveletMatrix:
+    return WaveletMatrix(row["n_tokens"], row["zeros"], row["planes"], row["ranks"])
+
+
+class Shard:
+    """One shard's file: tokens by place, counts and occurrences over all its segments.
+
+    The lengths of the segments are known from the start (one number each); a segment's planes are read when they are asked for, and
+    the last few are kept.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, shard: int, keep: int = 4):
+        self._rows = spark.read.schema(SEGMENT).parquet(out).filter(F.col("shard") == shard)
+        self._sizes = np.array([r.n_tokens for r in self._rows.select("segment", "n_tokens").orderBy("segment").collect()], dtype=np.int64)
+        self._begin, self._keep, self._held = np.concatenate([[0], np.cumsum(self._sizes)]), keep, {}
+
+    def __len__(self) -> int:
+        return int(self._begin[-1])
+
+    def segment(self, i: int) -> WaveletMatrix:
+        if i not in self._held:
+            while len(self._held) >= self._keep:
+                self._held.pop(next(iter(self._held)))
+            self._held[i] = _matrix(self._rows.filter(F.col("segment") == i).first())
+        return self._held[i]
+
+    def access(self, place: int) -> int:
+        if not 0 <= place < len(self):
+            raise IndexError(place)
+        i = int(np.searchsorted(self._begin, place, side="right")) - 1
+        return self.segment(i).access(place - int(self._begin[i]))
+
+    def rank(self, value: int, place: int) -> int:
+        """How often `value` stands before `place`."""
+        total = 0
+        for i, low in enumerate(self._begin[:-1].tolist()):
+            if low < place:
+                total += self.segment(i).rank(value, min(place - low, int(self._sizes[i])))
+        return total
+
+    def count(self, value: int) -> int:
+        return self.rank(value, len(self))
+
+    def select(self, value: int, k: int) -> int:
+        """The place of occurrence k (from 0) of `value`."""
+        left = k
+        for i, low in enumerate(self._begin[:-1].tolist()):
+            many = self.segment(i).count(value)
+            if 0 <= left < many:
+                return low + self.segment(i).select(value, left)
+            left -= many
+        raise IndexError(k)
+
+
+def token_counts(spark: SparkSession, out: str, values: list[int]) -> DataFrame:
+    """value, n: how often each of `values` stands in all files of `out`, two ranks a plane and segment."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                m = _matrix(row)
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array([m.count(v) for v in values], pa.int64())], names=["value", "n"])
+
+    return spark.read.schema(SEGMENT).parquet(out).transform(mapped(run, "value long, n long")).groupBy("value").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, out: str, value: int) -> DataFrame:
+    """doc_id, place: where `value` stands in the documents of `out` (places from 0 within a document)."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = np.array(_matrix(row).occurrences(value), dtype=np.int64)
+                edges = np.concatenate([[0], np.cumsum(row["lengths"])]).astype(np.int64)
+                which = np.searchsorted(edges, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array([row["ids"][i] for i in which.tolist()], pa.int64()), pa.array(at - edges[which])], names=["doc_id", "place"])
+
+    return spark.read.schema(SEGMENT).parquet(out).transform(mapped(run, "doc_id long, place long"))
 
 
 def read_digests(spark: SparkSession, out: str) -> DataFrame:
