@@ -7,7 +7,7 @@ none of the BANDS bands once in (1 - 0.8 ** DEPTH) ** BANDS, 1 in 38,000. Of tho
 radius and of sizes that allow the similarity are candidates. Their shingle sets are compared in full; only pairs
 of SIMILARITY or more are links, and components are those of `simhash`.
 
-All pairs of a band with at most SMALL nodes are candidates. In a larger one the sets themselves go to the tasks, which
+In a band with at most SMALL nodes the fingerprints are compared bit-sliced, as in `simhash`. In a larger one the sets themselves go to the tasks, which
 count what each node shares with all others through postings of the shingles, and only a spanning forest of the links
 leaves a task: a group of n copies gives at most n - 1 rows a band. Bands of very many nodes are cut into tiles, and
 every pair of tiles is a task of its own.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cograph.llm.common import mapped, splitmix, text_bytes, word_hashes, word_spans, written
 from cograph.llm.contamination import runs_of
-from cograph.llm.simhash import _bit_counts, components, kept_rows
+from cograph.llm.simhash import _bit_counts, components, kept_rows, near_pairs
 
 SHINGLE, SIMILARITY, RADIUS, BANDS, DEPTH, SMALL, TILE = 5, 0.8, 24, 20, 4, 32, 1024
 _ODD = splitmix(np.arange(1, 2 * BANDS * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -87,11 +87,6 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
 
-def _near(fp: np.ndarray, size: np.ndarray, i, j) -> np.ndarray:
-    """Which pairs are within the radius and of sizes that allow the similarity."""
-    return (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9)
-
-
 def _runs(batches, keys, columns):
     """The batches as whole groups: (numbers by column, sets, edges of the groups); rows are sorted by `keys`."""
 
@@ -121,13 +116,11 @@ def _pairs(a, b) -> pa.RecordBatch:
 def _candidates(batches):
     """Over rows sorted by (key, node), small groups: all pairs that may be similar."""
     for rows, _, edges in _runs(batches, 1, ("key", "node", "fp", "size")):
-        node, fp, size = rows[1], np.ascontiguousarray(rows[2]).view(np.uint64), rows[3]
-        lows, live, step = np.repeat(edges[:-1], np.diff(edges)), np.arange(rows.shape[1]), 1
-        while len(live := live[live - step >= lows[live]]):
-            some = live[_near(fp, size, live, live - step)]
-            if len(some):
-                yield _pairs(node[some], node[some - step])
-            step += 1
+        node, size = rows[1], rows[3]
+        for i, j in near_pairs(np.ascontiguousarray(rows[2]).view(np.uint64), np.repeat(edges[:-1], np.diff(edges)), None, RADIUS):
+            some = np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9
+            if some.any():
+                yield _pairs(node[i[some]], node[j[some]])
 
 
 def forest(sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:

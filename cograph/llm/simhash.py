@@ -5,12 +5,13 @@ copies never meet as pairs. Candidates are found by the pigeonhole principle: a
 (r: the radius), of which at least k must agree between any two linked fingerprints, so every choice of k parts is
 a key and no link is missed; k grows with the number of distinct fingerprints, so keys stay selective.
 
-Within the rows of one key, the fingerprints are held as 64 vertical bit planes. A block of 64 candidates is one
-machine word of each plane; differing bits are added into carry-save counters for all of them at once, and a block
-is given up as soon as every candidate in it exceeds the radius. Keys with very many fingerprints are cut into
-tiles, and every pair of tiles is a task of its own, so no group has to fit one task. Only a spanning forest of each
-tile pair leaves it, so the links of a group of n copies are at most n - 1 rows a key. Components are then found by
-alternating large-star and small-star rounds on the edges, each written to the shared folder.
+Within the rows of one key, the fingerprints are held as 64 vertical bit planes, groups side by side, however small or
+large they are. A block of 64 candidates is one machine word of each plane; a row is compared with the blocks of its
+group up to its own. Differing bits are added into carry-save counters for all 64 at once, and a block is given up as
+soon as every candidate in it exceeds the radius. Keys with very many fingerprints are cut into tiles, and every pair
+of tiles is a task of its own, so no group has to fit one task. Only a spanning forest of each tile pair leaves it, so
+the links of a group of n copies are at most n - 1 rows a key. Components are then found by alternating large-star and
+small-star rounds on the edges, each written to the shared folder, until only stars are left.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; texts with fewer words than
 a shingle are one shingle; repeated rows stay; a null doc_id stays null and never names a component unless all
@@ -88,35 +89,61 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(planes: np.ndarray, queries: np.ndarray, n: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, value) of at most `radius` differing bits: carry-save counters over vertical planes.
+def near_pairs(values: np.ndarray, starts: np.ndarray, sides: np.ndarray | None = None, radius: int = RADIUS, chunk: int = 1 << 17):
+    """Yields arrays (row, earlier row of its group) of the pairs of at most `radius` differing bits.
 
-    The counters have as many bits as the radius; what they carry out stays in `over`.
+    starts: the first row of each row's group. sides: bit 0 for rows of a tile pair's first tile, bit 1 for its second;
+    rows of one tile alone are compared with rows of the other only. Carry-save counters over vertical planes; the
+    counters have as many bits as the radius, and what they carry out stays in `over`.
     """
-    words = planes.shape[1]
-    rows, cols = np.meshgrid(np.arange(len(queries)), np.arange(words), indexing="ij")
-    rows, cols = rows.ravel(), cols.ravel()
-    depth = max(1, int(radius).bit_length())
-    count = np.zeros((depth, len(rows)), dtype=np.uint64)
-    over = np.zeros(len(rows), dtype=np.uint64)
-    for bit in range(64):
-        carry = planes[bit][cols] ^ (ONES * ((queries[rows] >> np.uint64(bit)) & np.uint64(1)))
-        for level in range(depth):
-            count[level], carry = count[level] ^ carry, count[level] & carry
-        over |= carry
-        if bit % 8 == 7:  # give up blocks in which every value exceeds the radius
-            live = np.flatnonzero((over | _above(count, radius)) != ONES)
-            if not len(live):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(live) < len(rows):
-                rows, cols, over, count = rows[live], cols[live], over[live], count[:, live]
-    hit = ~(over | _above(count, radius))
-    some = np.flatnonzero(hit)
-    bits = np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    which, j = np.nonzero(bits)
-    at = cols[some[which]] * 64 + j
-    keep = at < n
-    return rows[some[which]][keep], at[keep]
+    n = len(values)
+    planes = planes_of(values)
+    second = planes_of_bits(sides & 2) if sides is not None else None
+    first = planes_of_bits(sides & 1) if sides is not None else None
+    own = np.arange(n)
+    low, blocks = starts // 64, own // 64 - starts // 64 + 1
+    blocks[own == starts] = 0  # the first row of a group has no earlier one
+    upto = np.concatenate([[0], np.cumsum(blocks)])
+    depth, at = max(1, int(radius).bit_length()), 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + chunk, side="right")) - 1)
+        rows = np.repeat(own[at:stop], blocks[at:stop])
+        cols = np.arange(len(rows)) - np.repeat(upto[at:stop] - upto[at], blocks[at:stop]) + low[rows]
+        at = stop
+        # Candidates outside the group, and from the row itself on, are over the radius from the start.
+        over = ~(_ones_from(starts[rows] - cols * 64) & ~_ones_from(rows - cols * 64))
+        if sides is not None:
+            mine = sides[rows]
+            over |= np.where(mine == 3, np.uint64(0), ~np.where(mine == 1, second[cols], first[cols]))
+        count = np.zeros((depth, len(rows)), dtype=np.uint64)
+        for bit in range(64):
+            carry = planes[bit][cols] ^ (np.uint64(0) - ((values[rows] >> np.uint64(bit)) & np.uint64(1)))
+            for level in range(depth):
+                count[level], carry = count[level] ^ carry, count[level] & carry
+            over |= carry
+            if bit % 4 == 3:  # give up blocks in which every value exceeds the radius
+                live = np.flatnonzero((over | _above(count, radius)) != ONES)
+                if len(live) < len(rows):
+                    rows, cols, over, count = rows[live], cols[live], over[live], count[:, live]
+                if not len(live):
+                    break
+        if len(rows):
+            hit = ~(over | _above(count, radius))
+            which, j = np.nonzero(np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            yield rows[which], cols[which] * 64 + j
+
+
+def _ones_from(place: np.ndarray) -> np.ndarray:
+    """Words whose bits are set from `place` on (all below 1, none from 64 on)."""
+    shifted = ONES << np.clip(place, 0, 63).astype(np.uint64)
+    return np.where(place >= 64, np.uint64(0), shifted)
+
+
+def planes_of_bits(flags: np.ndarray) -> np.ndarray:
+    """One plane: bit j of word w is set where flag 64 w + j is."""
+    padded = np.zeros(-(-len(flags) // 64) * 64, dtype=bool)
+    padded[: len(flags)] = flags != 0
+    return np.packbits(padded, bitorder="little").view(np.uint64)
 
 
 def _above(count: np.ndarray, radius: int) -> np.ndarray:
@@ -131,111 +158,62 @@ def _above(count: np.ndarray, radius: int) -> np.ndarray:
     return above
 
 
-def forest(values: np.ndarray, sides: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (value, smallest value joined with it) of a spanning forest of the links among `values`.
-
-    sides: bit 0 if a value is in the first tile, bit 1 if in the second; only pairs across tiles (or within one
-    tile that stands for both) are compared.
-    """
-    parent = np.arange(len(values))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = int(parent[i])
-        return i
-
-    left, right = np.flatnonzero(sides & 1), np.flatnonzero(sides & 2)
-    planes = planes_of(values[right])
-    for i in range(0, len(left), 256):
-        a, b = within(planes, values[left[i : i + 256]], len(right), radius)
-        for x, y in zip(left[i + a].tolist(), right[b].tolist()):
-            if x != y:
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-    roots = np.array([root(i) for i in range(len(values))])
-    moved = np.flatnonzero(roots != np.arange(len(values)))
-    return values[moved], values[roots[moved]]
-
-
-def _small_groups(lows: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows of many small groups at once; lows: the first row of each row's group.
-
-    Row i is compared with the rows before it in its group, step by step, all groups together.
-    """
-    a, b, live, step = [], [], np.arange(len(values)), 1
-    while True:
-        live = live[live - step >= lows[live]]
-        if not len(live):
-            break
-        near = np.bitwise_count(values[live] ^ values[live - step]) <= radius
-        a.append(live[near])
-        b.append(live[near] - step)
-        step += 1
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-SMALL = 128
+def forest(values: np.ndarray, starts: np.ndarray, sides: np.ndarray | None = None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (value, a value of its group joined with it) of a spanning forest of the links within the groups."""
+    label = np.arange(len(values))
+    for a, b in near_pairs(values, starts, sides, radius):
+        while True:
+            x, y = label[a], label[b]
+            apart = np.flatnonzero(x != y)
+            if not len(apart):
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while True:  # every row points at its root again
+                up = label[label]
+                if (up == label).all():
+                    break
+                label = up
+    moved = np.flatnonzero(label != np.arange(len(values)))
+    return values[moved], values[label[moved]]
 
 
 def _linked(radius: int):
-    """Over rows sorted by (choice, key, tile pair): compares the rows of each group."""
+    """Over rows sorted by (choice, key, tile pair): the links within each group, whole groups at a time."""
 
     def run(batches):
         held: list[np.ndarray] = []
         for batch in batches:
             held.append(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("choice", "key", "pair", "side", "fp")]))
+            if sum(x.shape[1] for x in held) < 1 << 14 and batch.num_rows:
+                continue
             rows = np.concatenate(held, axis=1)
-            same = (rows[:3, 1:] == rows[:3, :-1]).all(axis=0)
-            breaks = np.flatnonzero(~same) + 1
+            breaks = np.flatnonzero(_edges(rows))
             if not len(breaks):
                 held = [rows]
                 continue
-            yield from groups(rows[:, : breaks[-1]], radius)
-            held = [rows[:, breaks[-1] :]]
-        if held and held[0].shape[1]:
-            yield from groups(np.concatenate(held, axis=1), radius)
-
-    def groups(rows: np.ndarray, radius: int):
-        same = (rows[:3, 1:] == rows[:3, :-1]).all(axis=0)
-        edges = np.concatenate([[0], np.flatnonzero(~same) + 1, [rows.shape[1]]])
-        sizes = np.diff(edges)
-        values = rows[4].view(np.uint64) if rows.flags.c_contiguous else np.ascontiguousarray(rows[4]).view(np.uint64)
-        out_a, out_b = [], []
-        small = np.repeat(sizes <= SMALL, sizes)
-        picked = np.flatnonzero(small)
-        if len(picked):
-            few = sizes[sizes <= SMALL]
-            lows = np.repeat(np.concatenate([[0], np.cumsum(few)[:-1]]), few)
-            mine = values[picked]
-            a, b = _small_groups(lows, mine, radius)
-            # The nearest earlier link of each row keeps every group's components: rows are linked to their roots below.
-            parent = {}
-            for x, y in zip(a.tolist(), b.tolist()):
-                while x in parent:
-                    x = parent[x]
-                while y in parent:
-                    y = parent[y]
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-            for x in list(parent):
-                y = parent[x]
-                while y in parent:
-                    y = parent[y]
-                parent[x] = y
-            out_a.append(mine[np.fromiter(parent.keys(), np.int64, len(parent))])
-            out_b.append(mine[np.fromiter(parent.values(), np.int64, len(parent))])
-        for g in np.flatnonzero(sizes > SMALL):
-            a, b = forest(values[edges[g] : edges[g + 1]], rows[3, edges[g] : edges[g + 1]], radius)
-            out_a.append(a)
-            out_b.append(b)
-        if out_a and sum(map(len, out_a)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a).view(np.int64)), pa.array(np.concatenate(out_b).view(np.int64))], names=["a", "b"])
+            yield from groups(rows[:, : breaks[-1] + 1])
+            held = [rows[:, breaks[-1] + 1 :]]
+        if held:
+            yield from groups(np.concatenate(held, axis=1))
+
+    def groups(rows: np.ndarray):
+        if not rows.shape[1]:
+            return
+        begin = np.concatenate([[0], np.flatnonzero(_edges(rows)) + 1])
+        starts = np.repeat(begin, np.diff(np.concatenate([begin, [rows.shape[1]]])))
+        a, b = forest(np.ascontiguousarray(rows[4]).view(np.uint64), starts, rows[3] if (rows[3] != 3).any() else None, radius)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return run
 
 
+def _edges(rows: np.ndarray) -> np.ndarray:
+    """Whether the row behind each but the last is of another group."""
+    return (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
+
+
 def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) that connect what is within the radius among the distinct fingerprints of `nodes` (fp)."""
     parts, choices = parts_of(n, radius)
@@ -257,12 +235,14 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
     return grouped.transform(mapped(_linked(radius), "a long, b long")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, list[str]]:
-    """(node, root) of every node of `edges` (a, b); root: the smallest node reached. Large-star, small-star rounds."""
+def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(node, root) of every node of `edges` (a, b); root: the smallest node reached. Large-star, small-star rounds.
+
+    The rounds end when every node has one edge, to a node that has none: then all edges are stars.
+    """
     spark = edges.sparkSession
     now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc")
-    before = None
-    for _ in range(max_rounds):
+    while not _stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -270,17 +250,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, list[
         down = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         after, new = written(small, "cc")
-        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.count_distinct("a")).first())
         remove(spark, path)
         now, path = after, new
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
-    else:
-        raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")), [path]
 
 
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("top")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("top").alias("top")).filter("down > 1 OR down + top > 1").isEmpty()
+
+
 def clusters(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, ref, fp, root and component_id for each row of `docs` (doc_id, text); ref: a hash of id and text."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("ref"), "text")
@@ -301,10 +280,10 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def kept_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """One row of `docs` for each of `stay` (best.ref)."""
-    stay = stay.select(F.col("best.ref").alias("__ref"))
-    same = W.partitionBy("__ref").orderBy(F.xxhash64(*docs.columns))
-    held = docs.withColumn("__ref", F.xxhash64("doc_id", "text")).join(stay, "__ref", "left_semi")
-    return held.withColumn("__n", F.row_number().over(same)).filter("__n = 1").select(docs.columns)
+    wanted = stay.select(F.col("best.ref").alias("wanted"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("ref"), F.xxhash64(*docs.columns).alias("tie"))
+    held = rows.join(wanted, F.col("ref") == F.col("wanted"), "left_semi")
+    return held.withColumn("place", F.row_number().over(W.partitionBy("ref").orderBy("tie"))).filter("place = 1").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
