@@ -1,6 +1,7 @@
 """Operators with a plain version: the same rows on documents of every odd kind."""
 
 import hashlib
+import random
 import re
 import textwrap
 
@@ -29,6 +30,59 @@ def test_substrings_hot(spark):
     assert rows_of(got) == sorted(map(str, brute.substrings([r[:2] for r in rows])))
 
 
+def test_spellings():
+    """Ranges of words are spelled alike exactly if they are equal, wherever they stand; runs and small alphabets too."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for letters in (2, 3, 30):
+        words = rng.integers(0, letters, 1200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        words[100:160] = words[100]
+        first = np.array([0, 400, 401, 1200])
+        levels = list(substrings.parse(words, substrings._row_of(first), substrings.Names()))
+        for size in (1, 2, 5, 13, 40):
+            begin = np.array([i for a, b in zip(first, first[1:]) for i in range(a, b - size + 1)])
+            found = substrings.spelled(words, levels, begin, begin + size)
+            plain = [words[i : i + size].tobytes() for i in begin]
+            assert len(set(zip(plain, found.tolist()))) == len(set(plain)) == len(set(found.tolist()))
+
+
+def test_global_names(spark, monkeypatch):
+    """Names of a few bits collide by the dozen: the Spark rounds part them, and the result is that of the plain version."""
+    rng = random.Random(8)
+    rows = [row(i, " ".join(rng.choice("abcdefghij") for _ in range(60)) + (" " + " ".join("a" * k for k in range(1, 18)) if i % 4 == 0 else "")) for i in range(40)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    for r, made in _made_names(docs, substrings.Names(keep=0xFF8)).items():
+        assert r == 0 or len(set(made.values())) < len(made)  # collisions there are
+    names = substrings.named_globally(docs.select("text"), keep=0x3FF8)
+    assert any(names.others.values())
+    for made in _made_names(docs, names).values():
+        assert len(set(made.values())) == len(made)
+    monkeypatch.setattr(substrings, "KEEP", 0x3FF8)
+    assert rows_of(substrings.deduplicate(docs)) == sorted(map(str, brute.substrings([r[:2] for r in rows])))
+
+
+def _made_names(docs, names):
+    out = {}
+    for r in range(substrings.ROUNDS + 1):
+        made = docs.select("text").transform(substrings.mapped(substrings._made(names, r), "name long, l long, r long")).distinct().collect()
+        out[r] = {(x.l, x.r): x.name for x in made}
+    return out
+
+
+def test_substrings_without_chance(spark):
+    """Texts built to defeat sums of powers, at the level of letters and of words, lose nothing."""
+    signs = [0]
+    while len(signs) < 4096:
+        signs += [1 - x for x in signs]
+    long = ["".join("ab"[x ^ flip] for x in signs[:2048]) for flip in (0, 1)]
+    filler = " ".join(f"f{i}" for i in range(12))
+    rows = [row(1, f"{filler} {long[0]}"), row(2, f"{filler} {long[1]}")]
+    rows += [row(3 + flip, " ".join("xy"[x ^ flip] for x in signs[:2048])) for flip in (0, 1)] + [row(9, "z " * 300), row(10, "z " * 20 + "end")]
+    got = substrings.deduplicate(spark.createDataFrame(rows, COLUMNS))
+    assert rows_of(got) == sorted(map(str, brute.substrings([r[:2] for r in rows])))
+
+
 def test_simhash(odd, odd_rows, empty):
     found = simhash.clusters(odd).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0"), "component_id")
     assert rows_of(found) == sorted(map(str, brute.simhash([r[:2] for r in odd_rows])))
@@ -49,6 +103,35 @@ def test_simhash_tiles_and_chains(spark):
         assert len({got(v) for v in chain}) == 1 and len({got(v) for v in near}) == 1
 
 
+def test_bit_slices():
+    """The comparison over planes and the links that leave it, against all pairs; groups of every size, with tiles and without."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        n = int(rng.integers(1, 300))
+        v = rng.integers(0, 1 << 63, 5).astype(np.uint64)[rng.integers(0, 5, n)]
+        for _ in range(6):
+            v = v ^ ((np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) * (rng.random(n) < 0.5).astype(np.uint64))
+        sizes = rng.integers(1, 150, n)
+        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)[:n]
+        sides = None if trial % 2 else rng.integers(1, 3, n)
+        for radius in (0, 3, 4, 7):
+            want = {(i, j) for i in range(n) for j in range(starts[i], i) if (int(v[i]) ^ int(v[j])).bit_count() <= radius and (sides is None or sides[i] != sides[j])}
+            got = {x for a, b in simhash.near_pairs(v, starts, sides, radius, chunk=int(rng.integers(1, 300))) for x in zip(a.tolist(), b.tolist())}
+            assert got == want
+            label = list(range(n))
+            for i, j in sorted(want):
+                x, y = sorted((label[i], label[j]))
+                label = [x if r == y else r for r in label]
+            a, b = simhash.forest(v, starts, sides, radius)
+            assert len(a) == n - len(set(label)) and sorted(b.tolist()) == sorted(int(v[r]) for i, r in enumerate(label) if r != i)
+    for radius in range(8):
+        count = np.array([[0xFF00FF00FF00FF00], [0xFFFF0000FFFF0000], [0xFFFFFFFF00000000]], dtype=np.uint64)
+        above = int(simhash._above(count, radius)[0])
+        assert all((above >> j & 1) == (sum((int(count[k][0]) >> j & 1) << k for k in range(3)) > radius) for j in range(64))
+
+
 def test_simhash_parts():
     for n in (1, 10**3, 10**6, 10**9, 10**12):
         parts, choices = simhash.parts_of(n)
@@ -70,6 +153,43 @@ def test_tokens(odd, odd_rows, empty, spark):
     assert tokens.encode_documents(spark, empty, path).count() == 0
 
 
+SPECIAL = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|STARTOFTEXT|>y", "a <|endoftext|>b", "<|startoftext|><|endoftext|>", "ABC<DEF> It's <b>Bold</b>, A<B. end.", "<", "< |endoftext|>"]
+
+
+def test_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    rows = [row(i, t) for i, t in enumerate(SPECIAL)]
+    got = tokens.encode_documents(spark, spark.createDataFrame(rows, COLUMNS), path)
+    assert rows_of(got) == sorted(map(str, brute.tokens([r[:2] for r in rows], Tokenizer.from_file(path))))
+
+
+def test_shard_file(spark, odd_rows, monkeypatch):
+    """Access, counts and occurrences from one shard's file of several segments, against the decoded sequence."""
+    from tokenizers import Tokenizer
+
+    path, out = tokens.default_tokenizer(), fresh_path(spark, "t")
+    rows = [row(i, r[1]) for i, r in enumerate(odd_rows)]
+    tokens.write_shards(spark.createDataFrame(rows, COLUMNS).repartition(3), out, path)
+    plain = [Tokenizer.from_file(path).encode(r[1] or "", add_special_tokens=False).ids + [2] for r in rows]
+    files = spark.read.parquet(out)
+    held = {r.shard: [i for x in r.ids for i in x] for r in files.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "ids"))), lambda x: x["ids"]).alias("ids")).collect()}
+    assert sorted(i for ids in held.values() for i in ids) == list(range(len(rows)))
+    for number, ids in held.items():
+        shard, whole = tokens.Shard(spark, out, number, keep=1), [t for i in ids for t in plain[i]]
+        assert len(shard) == len(whole)
+        for place in {0, len(whole) // 3, len(whole) - 1}:
+            value = whole[place]
+            assert shard.access(place) == value and shard.rank(value, place) == whole[:place].count(value) and shard.count(value) == whole.count(value)
+            assert shard.select(value, whole[:place].count(value)) == place
+    wanted = [2, plain[0][0], 49000]
+    counts = {r.value: r.n for r in tokens.token_counts(spark, out, wanted).collect()}
+    assert counts == {v: sum(p.count(v) for p in plain) for v in wanted}
+    found = sorted((r.doc_id, r.place) for r in tokens.occurrences(spark, out, plain[0][0]).collect())
+    assert found == [(i, k) for i, p in enumerate(plain) for k, v in enumerate(p) if v == plain[0][0]]
+
+
 def test_wavelet():
     import numpy as np
 
@@ -167,6 +287,38 @@ def test_licences(spark, odd_rows, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_licence_filters():
+    """The join behind its filters is the plain one, and the positional filter takes pairs away that the others leave."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    names = [f"t{i}" for i in range(30)]
+    templates = [(f"l{k}", " ".join(rng.choice(names, rng.integers(3, 14), replace=False))) for k in range(12)]
+    hashed = {w: int(licences._hash(w)[0]) for w in names}
+    counts = {h: int(rng.integers(0, 1000)) for h in hashed.values()}
+    cut = 0
+    for share in (0.5, 0.8, 0.9, 1.0):
+        matcher = licences.Matcher(templates, counts, share)
+        blocks = [[str(x) for x in rng.choice([*names, *(f"o{i}" for i in range(20))], rng.integers(1, 20))] for _ in range(300)]
+        words = licences._hash(" ".join(w for b in blocks for w in b))
+        block = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+        got = set(zip(*(x.tolist() for x in matcher.match(words, block))))
+        want, prefixed = set(), 0
+        for i, b in enumerate(blocks):
+            for t, (_, text) in enumerate(templates):
+                want_words = set(text.split())
+                need = int(np.ceil(share * len(want_words) - 1e-9))
+                both = len(want_words & set(b))
+                rare = sorted(want_words, key=lambda w: (counts[hashed[w]], hashed[w]))[: len(want_words) - need + 1]
+                prefixed += bool(set(rare) & set(b)) and len(b) >= need
+                if both >= need:
+                    want.add((i, t, both / len(want_words)))
+        assert got == want
+        assert len(want) <= matcher.passed <= prefixed
+        cut += prefixed - matcher.passed
+    assert cut > 100
+
+
 def wrapped(text, width):
     return "\n".join(f" * {x}" for x in textwrap.wrap(text, width))
 
