@@ -2,10 +2,13 @@
 
 A passage is a window of two neighbouring halves of 64 words, so every run of up to 64 words lies whole in one. The
 score of an item is its BM25 score for the passage's distinct words, divided by its score for its own words; all
-items of at least `THRESHOLD` are retrieved. As in WAND, an item's weakest words, which together cannot lift it over
-the threshold, have no postings in the first pass; the postings of the others are added up for each passage, and
-only items whose sum plus the most that the left-out words could add (one bound an item, in place of block-max WAND's blocks) reaches
-the threshold are scored in full. So nothing above the threshold is missed. What is retrieved is verified by the
+items of at least `THRESHOLD` are retrieved. The search is block-max WAND, for all passages of a batch at once. A word's
+postings are cut into blocks of `BLOCK` neighbouring items, each with its largest impact. An item's weakest words, which
+together cannot lift it over the threshold, have no postings (as in WAND, no item is met by them alone); a block's
+largest left-out sum bounds what they could add. First only the blocks' maxima are added up: a block of items whose
+maxima and left-out sum stay below the threshold is skipped with all its postings. The postings of the others are
+added up, and items whose sum plus their own left-out words reaches the threshold are scored in full. So nothing above
+the threshold is missed. What is retrieved is verified by the
 shares of the question's and of the answer's five-word runs that the passage holds (the answer is an item's last
 sentence, the question what stands before it; a single sentence is both).
 
@@ -14,7 +17,8 @@ verified like an item of its own; a passage that holds a piece holds the item. I
 overlaps are the shares of the whole item's runs that the matching passages hold together.
 
 Items are dealt into chunks of a bounded number of words; each chunk's index is sent to the tasks and the documents
-are read once a chunk. Document frequencies are counted over all items.
+are read once a chunk. With several chunks, each one's result is written and its index dropped before the next one is
+built, so one index at a time is held. Document frequencies are counted over all items.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z in lower case.
 
@@ -33,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cograph.llm.common import WORD_SQL, ascii_lower, mapped, table, words_of
+from cograph.llm.common import WORD_SQL, ascii_lower, mapped, remove, table, words_of, written
 
-THRESHOLD, OVERLAP, HALF, RUN, K1, B, SPARE, CHUNK_WORDS = 0.4, 0.3, 64, 5, 1.2, 0.75, 0.15, 2_000_000
+THRESHOLD, OVERLAP, HALF, RUN, K1, B, SPARE, CHUNK_WORDS, BLOCK = 0.4, 0.3, 64, 5, 1.2, 0.75, 0.15, 2_000_000, 4
 
 
 def pieces_of(n: int) -> list[tuple[int, int]]:
@@ -64,14 +68,22 @@ def held(some: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, some), len(sorted_) - 1)] == some
 
 
+def _spread(begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of `many` places from `begin` on: (number of the range, place) of each place."""
+    of = np.repeat(np.arange(len(begin)), many)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + begin[of]
+
+
 class Index:
-    """Postings of a chunk of items in arrays: for each word, items and impacts from its place on."""
+    """Postings of a chunk of items in arrays: each word's blocks from its place on, each block's items and impacts."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, threshold: float = THRESHOLD):
         self.ids, self.words, self.impacts, self.runs, self.rest, self.whole = [], [], [], [], [], []
         #: Of each item, by the number of its first entry: the runs of question and answer, and the words of a run.
         self.question, self.answer, self.lengths = {}, {}, {}
         self.threshold = threshold
+        #: Postings of the blocks that passages met, and of those that were not skipped.
+        self.met = self.opened = 0
         entries: list[tuple[int, int, float]] = []
         for item, text in items:
             parts = [p for p in re.split(r"(?<=[.?!])\s+|\n+", text) if re.search(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", p)]
@@ -105,9 +117,16 @@ class Index:
         self.rest = np.array(self.rest)
         entries.sort()
         hashes = np.array([e[0] for e in entries], dtype=np.uint64)
-        self.terms, self.begin, self.many = np.unique(hashes, return_index=True, return_counts=True)
         self.items = np.array([e[1] for e in entries], dtype=np.int64)
         self.impact = np.array([e[2] for e in entries])
+        # Postings are in the order of (word, item): a block is a run of one word and one block of items.
+        block = self.items // BLOCK
+        edge = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (block[1:] != block[:-1])])) if len(entries) else np.zeros(0, np.int64)
+        self.block_at, self.block_many, self.block = edge, np.diff(np.concatenate([edge, [len(entries)]])), block[edge]
+        self.block_max = np.maximum.reduceat(self.impact, edge) if len(entries) else self.impact
+        self.terms, self.begin, self.many = np.unique(hashes[edge], return_index=True, return_counts=True)
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.block_rest = np.maximum.reduceat(self.rest, np.arange(0, len(self.ids), BLOCK)) if len(self.ids) else self.rest
         size = 1 << max(12, int(len(self.terms) * 8).bit_length())
         self.mask = np.uint64(size - 1)
         self.slots = np.full(size, -1, dtype=np.int32)
@@ -143,19 +162,23 @@ class Index:
         half = halves[row] + (hit - first[row]) // HALF
         key = np.unique(half * len(self.terms) + term[hit])
         half, term = key // len(self.terms), key % len(self.terms)
-        many = self.many[term]
-        place = np.repeat(self.begin[term] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        half, item, impact = np.repeat(half, many), self.items[place], self.impact[place]
         begins = np.zeros(halves[-1] + 1, dtype=bool)
         begins[halves[:-1][counts > 0]] = True
+        # Blocks of every passage (its first half, and the half behind it), and the sums of their maxima.
+        of, place = _spread(self.begin[term], self.many[term])
+        half = half[of]
         back = np.flatnonzero(~begins[half])
-        key = np.concatenate([half, half[back] - 1]) * len(self.ids) + np.concatenate([item, item[back]])
-        order = np.argsort(key, kind="stable")
-        key, impact = key[order], np.concatenate([impact, impact[back]])[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total, key = np.add.reduceat(impact, edge), key[edge]
-        item = key % len(self.ids)
-        good = np.flatnonzero(total + self.rest[item] >= self.threshold - 1e-9)
+        place = np.concatenate([place, place[back]])
+        key, which = np.unique(np.concatenate([half, half[back] - 1]) * self.blocks + self.block[place], return_inverse=True)
+        bound = np.bincount(which, weights=self.block_max[place], minlength=len(key)) + self.block_rest[key % self.blocks]
+        open_ = bound >= self.threshold - 1e-9
+        keep = np.flatnonzero(open_[which])
+        self.met, self.opened = self.met + int(self.block_many[place].sum()), self.opened + int(self.block_many[place[keep]].sum())
+        # The postings of the blocks that are left.
+        of, posting = _spread(self.block_at[place[keep]], self.block_many[place[keep]])
+        key, which = np.unique(key[which[keep]][of] // self.blocks * len(self.ids) + self.items[posting], return_inverse=True)
+        total = np.bincount(which, weights=self.impact[posting], minlength=len(key))
+        good = np.flatnonzero(total + self.rest[key % len(self.ids)] >= self.threshold - 1e-9)
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
         seen: dict[tuple[int, int], list[np.ndarray]] = {}
         for k in good.tolist():
@@ -184,9 +207,9 @@ class Index:
         return [(r, self.ids[j], *x) for (r, j), x in sorted(out.items())]
 
 
-def indexes(items: DataFrame, threshold: float = THRESHOLD, chunk_words: int = CHUNK_WORDS):
+def indexes(items: DataFrame, threshold: float = THRESHOLD, chunk_words: int | None = None):
     """The index of each chunk of `items` (item_id, text)."""
-    spark = items.sparkSession
+    chunk_words, spark = chunk_words or CHUNK_WORDS, items.sparkSession
     words = F.regexp_extract_all(ascii_lower("text"), F.lit(WORD_SQL), F.lit(0))
     items = items.select("item_id", "text").distinct().withColumn("words", words).filter(F.size("words") > 0)
     n, total = items.agg(F.count("*"), F.sum(F.size("words"))).first()
@@ -232,19 +255,32 @@ def _clean(shared):
     return run
 
 
+def _chunked(start: DataFrame, step, items: DataFrame, threshold: float) -> DataFrame:
+    """step(frame so far, index) for each chunk's index; but for the last, the result is written and the index dropped."""
+    out, before, path = start, None, None
+    for shared in indexes(items, threshold):
+        if before is not None:
+            out, new = written(step(out, before), "bench-chunk")
+            before.destroy()
+            remove(start.sparkSession, *([path] if path else []))
+            path = new
+        before = shared
+    return out if before is None else step(out, before)
+
+
+MATCH = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified match."""
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-    for shared in indexes(items, threshold):
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").transform(mapped(_matches(shared), out.schema)))
-    return out
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    none = docs.sparkSession.createDataFrame([], MATCH)
+    return _chunked(none, lambda found, shared: found.unionByName(texts.transform(mapped(_matches(shared), MATCH))), items, threshold)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns."""
-    for shared in indexes(items, threshold):
-        docs = docs.transform(mapped(_clean(shared), docs.schema))
-    return docs
+    return _chunked(docs, lambda rows, shared: rows.transform(mapped(_clean(shared), docs.schema)), items, threshold)
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
