@@ -1,12 +1,17 @@
 """Nearest neighbours by a block matrix join with int8 tiles and error bounds.
 
-Queries are dealt into groups of at most about `QUERY_GROUP` rows, candidates into packed blocks; every pair of a
+Queries are dealt into groups of at most about `QUERY_BYTES`, candidates into packed blocks; every pair of a
 query group and a candidate slice is one task that holds the group and streams the blocks. A tile is the product
-of int8 vectors (exact integers in float32 matrix products). With the norms of the rounding residuals e_q and e_c,
-a cosine differs from its tile value by at most e_q + (1 + e_q) e_c, so a pair whose upper bound is below the k-th
-best score known for its query cannot be an answer; only the rest is computed again in double precision from the
-original vectors and merged into the query's heap. The answer is exact: no index is approximate and nothing is
-capped. Each task returns at most k rows a query.
+of int8 vectors (exact integers in float32 matrix products of at most 1,024 components, added up in double precision).
+With the norms of the rounding residuals e_q and e_c, a cosine differs from its tile value by at most
+e_q + (1 + e_q) e_c, so a pair whose upper bound is below the k-th best score known for its query cannot be an answer;
+only the rest is computed again in double precision from the original vectors and merged into the query's heap. The
+answer is exact: no index is approximate and nothing is capped. Each task returns at most k rows a query.
+
+Blocks travel in the precision of the table (float vectors as 4 bytes a component), so the tasks can recompute what
+survives a tile where they stand: near-ties, however many, never leave a task. Of equal vectors in a block only the
+k + 1 smallest ids travel, as no query can have another one among its k nearest. What is sent is the candidates once a query group: with exact
+answers to a fixed share of all rows it grows with the square of the rows, by the factor that `QUERY_BYTES` sets.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, as do rows
 without an id; vectors of different lengths are not compared; repeated equal rows count once, and rows that share a
@@ -25,19 +30,21 @@ from pyspark.sql import functions as F
 
 from cograph.llm.common import mapped, table, written
 
-K, EVERY, QUERY_GROUP, BLOCK = 5, 50, 4096, 2048
-PACKED = "dim int, ids binary, vectors binary"
+K, EVERY, QUERY_BYTES, BLOCK, EXACT = 5, 50, 64 << 20, 2048, 1024
+PACKED = "dim int, width int, ids binary, vectors binary"
 
 
 def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     v = F.col(vec_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    return rows.filter(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v")).distinct()
+    kind = "array<float>" if rows.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    return rows.filter(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.cast(kind).alias("v")).distinct()
 
 
-def _pack(size: int):
-    schema = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
+def _pack(size: int, most: int = 0):
+    """Rows (id, v) in blocks of at most `size`; most: so many of the smallest ids of equal vectors in a block (0: all)."""
+    schema = pa.schema([("dim", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -59,7 +66,14 @@ def _pack(size: int):
                 yield block(dim, a, b)
 
     def block(dim, a, b):
-        return pa.RecordBatch.from_pylist([{"dim": int(dim), "ids": a.astype("<i8").tobytes(), "vectors": b.astype("<f8").tobytes()}], schema=schema)
+        if most:
+            same = np.unique(b, axis=0, return_inverse=True)[1].ravel()
+            order = np.lexsort((a, same))
+            first = np.concatenate([[True], same[order][1:] != same[order][:-1]])
+            place = np.arange(len(a)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            stay = order[place < most]
+            a, b = a[stay], b[stay]
+        return pa.RecordBatch.from_pylist([{"dim": int(dim), "width": b.dtype.itemsize, "ids": a.astype("<i8").tobytes(), "vectors": b.tobytes()}], schema=schema)
 
     return run
 
@@ -83,6 +97,12 @@ def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(x) * np.sqrt(y))
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of int8 values held as float32: sums of up to EXACT products stay below 2 ** 24, so they are exact."""
+    parts = [a[:, i : i + EXACT] @ b[:, i : i + EXACT].T for i in range(0, a.shape[1], EXACT)]
+    return parts[0] if len(parts) == 1 else np.sum(parts, axis=0, dtype=np.float64)
+
+
 class Heaps:
     """The k best (score, smaller id) of each query seen so far."""
 
@@ -96,7 +116,7 @@ class Heaps:
         small, scale, residual = quantise(vectors)
         for low in range(0, len(self.ids), 512):
             rows = slice(low, low + 512)
-            near = (self.small[rows] @ small.T) * self.scale[rows, None] * scale[None, :]
+            near = _product(self.small[rows], small) * self.scale[rows, None] * scale[None, :]
             slack = self.residual[rows, None] + (1 + self.residual[rows, None]) * residual[None, :] + 1e-9
             own = self.ids[rows, None] == ids[None, :]
             least = np.where(own, -np.inf, near - slack)
@@ -129,19 +149,20 @@ def _search(k: int):
         return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(heaps.who.ravel()[keep]), pa.array(heaps.best.ravel()[keep])], schema=schema)
 
     def run(batches):
-        now, heaps = None, None
+        now, asked, heaps = None, [], None
         for batch in batches:
             for r in range(batch.num_rows):
                 key = tuple(batch.column(c)[r].as_py() for c in ("qg", "cg", "dim"))
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), dtype="<i8")
-                vectors = np.frombuffer(batch.column("vectors")[r].as_py(), dtype="<f8").reshape(len(ids), key[2])
+                vectors = np.frombuffer(batch.column("vectors")[r].as_py(), dtype=f"<f{batch.column('width')[r].as_py()}").reshape(len(ids), key[2]).astype(np.float64)
                 if key != now:
                     if heaps:
                         yield out(heaps)
-                    now, heaps = key, None
+                    now, asked, heaps = key, [], None
                 if batch.column("side")[r].as_py() == 0:
-                    heaps = Heaps(ids, vectors, k) if heaps is None else Heaps(np.concatenate([heaps.ids, ids]), np.concatenate([heaps.vectors, vectors]), k)
-                elif heaps:
+                    asked.append((ids, vectors))
+                elif asked:
+                    heaps = heaps or Heaps(*(np.concatenate(x) for x in zip(*asked)), k)
                     heaps.add(ids, vectors)
         if heaps:
             yield out(heaps)
@@ -149,19 +170,21 @@ def _search(k: int):
     return run
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_group: int = QUERY_GROUP) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of `candidates` (id, v) for each of `queries` (id, v)."""
     spark = queries.sparkSession
     queries, _ = written(queries, "knn-queries")
-    groups = max(1, ceil(queries.count() / query_group))
+    n, longest = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    rows = max(1, query_bytes // (8 * (longest or 1)))
+    groups = max(1, ceil(n / rows))
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.repartition(groups, F.pmod(F.xxhash64("id"), F.lit(groups))).transform(mapped(_pack(query_group), PACKED))
+    asked = queries.repartition(groups, F.pmod(F.xxhash64("id"), F.lit(groups))).transform(mapped(_pack(BLOCK), PACKED))
     asked = asked.withColumn("qg", F.pmod(F.spark_partition_id().cast("long"), F.lit(groups)))
     asked, _ = written(asked, "knn-query-blocks")
     asked = asked.withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("side", F.lit(0))
-    blocks = candidates.transform(mapped(_pack(BLOCK), PACKED)).withColumn("cg", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    blocks = candidates.transform(mapped(_pack(BLOCK, k + 1), PACKED)).withColumn("cg", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
     blocks = blocks.withColumn("qg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).withColumn("side", F.lit(1))
-    columns = ["qg", "cg", "dim", "side", "ids", "vectors"]
+    columns = ["qg", "cg", "dim", "side", "width", "ids", "vectors"]
     both = asked.select(columns).unionByName(blocks.select(columns)).repartition("qg", "cg", "dim").sortWithinPartitions("qg", "cg", "dim", "side")
     found = both.transform(mapped(_search(k), "query_id long, vec_id long, score double"))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
