@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cograph.functions import constants as C
-from cograph.functions.text import category, log_norm, strip
+from cograph.functions.text import category, log_norm
 from cograph.functions.vectors import one_hot
 
 EDGE, NODE = r"EDGE:\s*(\d+)\s*->\s*(\d+)", r"^NODE\s+(\d+):"
@@ -52,15 +54,17 @@ def edge_density(n_nodes: Column, n_edges: Column) -> Column:
 
 def max_out_degree(ids: Column, edges: Column) -> Column:
     """The most edges that leave one of `ids` (0 without any)."""
-    own = F.transform(F.filter(edges, lambda e: F.array_contains(ids, e["src"])), lambda e: e["src"])
-    # Sorted sources: the longest run is the largest degree, found in one fold.
+    row = lambda value, mark: F.struct(value.alias("at"), F.lit(mark).alias("mark"))
+    # Ids before the sources equal to them, in one sorted array: one fold counts the sources behind each id.
+    both = F.array_sort(F.concat(F.transform(ids, lambda i: row(i, 0)), F.transform(edges, lambda e: row(e["src"], 1))))
     start = F.struct(F.lit(None).cast("long").alias("now"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s: Column, x: Column) -> Column:
-        run = F.when(x == s["now"], s["run"] + 1).otherwise(1)
-        return F.struct(x.alias("now"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+        new = x["mark"] == 0
+        run = F.when(new, F.lit(0)).otherwise(s["run"] + F.coalesce((x["at"] == s["now"]).cast("int"), F.lit(0)))
+        return F.struct(F.when(new, x["at"]).otherwise(s["now"]).alias("now"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(own), start, step, lambda s: s["best"])
+    return F.aggregate(both, start, step, lambda s: s["best"])
 
 
 def _adjacency(edges) -> dict[int, list[int]]:
@@ -70,64 +74,91 @@ def _adjacency(edges) -> dict[int, list[int]]:
     return out
 
 
-def has_cycle(ids, adjacency: dict[int, list[int]]) -> bool:
-    """Whether a cycle can be reached from `ids`: nodes without open predecessors are taken off until none is left."""
-    reach, todo = set(ids), list(ids)
+def _reached(ids, adjacency: dict[int, list[int]]) -> dict[int, None]:
+    reach, todo = dict.fromkeys(ids), list(ids)
     while todo:
         for v in adjacency.get(todo.pop(), ()):
             if v not in reach:
-                reach.add(v)
+                reach[v] = None
                 todo.append(v)
-    open_ = dict.fromkeys(reach, 0)
-    for u in reach:
-        for v in adjacency.get(u, ()):
-            open_[v] += 1
-    free = [u for u, n in open_.items() if not n]
-    gone = 0
-    while free:
-        gone += 1
-        for v in adjacency.get(free.pop(), ()):
-            open_[v] -= 1
-            if not open_[v]:
-                free.append(v)
-    return gone < len(reach)
+    return reach
+
+
+def components_of(ids, adjacency: dict[int, list[int]]) -> list[list[int]]:
+    """Strongly connected components of what can be reached from `ids`; each comes after all that it leads to."""
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    held: list[int] = []
+    done: set[int] = set()
+    out: list[list[int]] = []
+    for root in _reached(ids, adjacency):
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        held.append(root)
+        trail = [(root, iter(adjacency.get(root, ())))]
+        while trail:
+            u, rest = trail[-1]
+            for v in rest:
+                if v not in number:
+                    number[v] = low[v] = len(number)
+                    held.append(v)
+                    trail.append((v, iter(adjacency.get(v, ()))))
+                    break
+                if v not in done:
+                    low[u] = min(low[u], number[v])
+            else:
+                trail.pop()
+                if trail:
+                    low[trail[-1][0]] = min(low[trail[-1][0]], low[u])
+                if low[u] == number[u]:
+                    part = [held.pop()]
+                    while part[-1] != u:
+                        part.append(held.pop())
+                    done.update(part)
+                    out.append(part)
+    return out
+
+
+def has_cycle(ids, adjacency: dict[int, list[int]]) -> bool:
+    """Whether a cycle can be reached from `ids`."""
+    return any(len(c) > 1 or c[0] in adjacency.get(c[0], ()) for c in components_of(ids, adjacency))
 
 
 def longest_path(ids, adjacency: dict[int, list[int]], most: int = DEEPEST) -> int:
-    """Nodes on the longest simple path from one of `ids`, at most `most`."""
+    """Nodes on the longest simple path from one of `ids`, at most `most`.
+
+    A path never comes back to a strongly connected component that it left, so components are solved one after
+    another, those that they lead to first. Within one, a state is where a path stands and which nodes it has used, each looked
+    at once; the search ends at `most` nodes, or when all nodes are used and the deepest way out is taken. So the work
+    is linear without cycles, and can only be large for a component that is large, cyclic and without such a path.
+    """
     ids = list(ids)
-    if not ids:
-        return 0
-    if not has_cycle(ids, adjacency):
-        depth: dict[int, int] = {}
-        for root in ids:
-            stack = [root]
-            while stack:
-                u = stack[-1]
-                below = [v for v in adjacency.get(u, ()) if v not in depth]
-                if u in depth or not below:
-                    stack.pop()
-                    depth[u] = 1 + max((depth[v] for v in adjacency.get(u, ())), default=0)
-                else:
-                    stack += below
-        return min(most, max(depth[u] for u in ids))
-    best = 0
-    for root in ids:
-        path, trail = [root], [iter(dict.fromkeys(adjacency.get(root, ())))]
-        on = {root}
-        best = max(best, 1)
-        while trail and best < most:
-            v = next(trail[-1], None)
-            if v is None:
-                trail.pop()
-                on.discard(path.pop())
-            elif v not in on:
-                path.append(v)
-                on.add(v)
-                trail.append(iter(dict.fromkeys(adjacency.get(v, ()))))
-                best = max(best, len(path))
-        if best >= most:
-            return most
+    depth: dict[int, int] = {}
+    for part in components_of(ids, adjacency):
+        inside = set(part)
+        out = {u: max((depth[v] for v in adjacency.get(u, ()) if v not in inside), default=0) for u in part}
+        if len(part) == 1:
+            depth[part[0]] = min(most, 1 + out[part[0]])
+            continue
+        bit = {u: 1 << i for i, u in enumerate(part)}
+        # Nodes with few ways on come first: long paths are found early.
+        near = {u: sorted({v for v in adjacency[u] if v in inside and v != u}, key=lambda v: (len(adjacency[v]), v)) for u in part}
+        top = min(most, len(part) + max(out.values()))
+        found = {u: _deepest(u, near, bit, out, top) for u in part}
+        depth.update(found)
+    return max((depth[u] for u in ids), default=0)
+
+
+def _deepest(root: int, near: dict[int, list[int]], bit: dict[int, int], out: dict[int, int], top: int) -> int:
+    best, seen, stack = 0, set(), [(root, bit[root], 1)]
+    while stack and best < top:
+        u, used, n = stack.pop()
+        best = max(best, min(top, n + out[u]))
+        for v in reversed(near[u]):
+            if not used & bit[v] and (v, used | bit[v]) not in seen:
+                seen.add((v, used | bit[v]))
+                stack.append((v, used | bit[v], n + 1))
     return best
 
 
@@ -148,7 +179,7 @@ def visiting_order(ids, adjacency: dict[int, list[int]]) -> list[int]:
     return [u for u in seen if u in have] + [i for i in ids if i not in seen]
 
 
-_SHAPE = T.StructType([T.StructField("cycle", T.DoubleType()), T.StructField("longest", T.LongType()), T.StructField("path", T.ArrayType(T.StringType()))])
+_SHAPE = T.StructType([T.StructField("cycle", T.DoubleType()), T.StructField("longest", T.LongType()), T.StructField("degree", T.LongType()), T.StructField("types", T.ArrayType(T.DoubleType())), T.StructField("path", T.ArrayType(T.StringType()))])
 
 
 def path_of(ids, tokens, adjacency: dict[int, list[int]]) -> list[str]:
@@ -161,28 +192,56 @@ def path_of(ids, tokens, adjacency: dict[int, list[int]]) -> list[str]:
     return out
 
 
+_KINDS = tuple((name, re.compile(pattern, re.I)) for name, pattern in C.STATEMENT_TYPES.items())
+_PARAMETER, _INVOKE, _CAST, _IF, _RETURN = (re.compile(x) for x in (C.PATH_PARAMETER, C.PATH_INVOKE, C.PATH_CAST, r"\bif\b", r"\breturn\b"))
+_NODE = re.compile(NODE)
+_EDGE = re.compile(EDGE)
+
+
+@lru_cache(1 << 16)
+def read_statement(line: str) -> tuple[int, str]:
+    """The place of a statement's type in TYPES, and its token on the path: `statement_type` and `path_token` for one line."""
+    kind = next((i for i, (_, pattern) in enumerate(_KINDS) if pattern.search(line)), len(_KINDS))
+    if m := _PARAMETER.search(line):
+        return kind, f"param({m[2].rsplit('.', 1)[-1]})"
+    if m := _INVOKE.search(line):
+        return kind, m[1]
+    if m := _CAST.search(line):
+        return kind, f"cast({m[1].rsplit('.', 1)[-1]})"
+    return kind, "branch" if _IF.search(line) else "return" if _RETURN.search(line) else "assign"
+
+
+def shape_of(nodes, edges) -> tuple[float, int, int, list[float], list[str]]:
+    """Cycle, longest path, degree, shares of statement types, and path of one slice's node and edge lines."""
+    ids, tokens, types = [], [], [0] * len(TYPES)
+    for line in nodes:
+        number = _NODE.match(line)
+        kind, token = read_statement(line[number.end() :].strip() if number else line)
+        types[kind] += 1
+        if number:
+            ids.append(int(number[1]))
+            tokens.append(token)
+    pairs = [{"src": int(m[1]), "dst": int(m[2])} for m in map(_EDGE.search, edges) if m]
+    adjacency, own = _adjacency(pairs), dict.fromkeys(ids)
+    degree = max((len(adjacency.get(i, ())) for i in own), default=0)
+    shares = [n / max(1, len(nodes)) for n in types]
+    return float(has_cycle(own, adjacency)), longest_path(own, adjacency), degree, shares, path_of(ids, tokens, adjacency)
+
+
 @F.pandas_udf(_SHAPE)
-def shape(ids: pd.Series, tokens: pd.Series, edges: pd.Series) -> pd.DataFrame:
-    """Cycle, longest path and linear path: graph walks that column expressions cannot say."""
-    rows = []
-    for nodes, names, pairs in zip(ids, tokens, edges):
-        nodes, adjacency = [int(i) for i in nodes], _adjacency(pairs)
-        own = dict.fromkeys(nodes)
-        rows.append((float(has_cycle(own, adjacency)), longest_path(own, adjacency), path_of(nodes, names, adjacency)))
-    return pd.DataFrame(rows, columns=["cycle", "longest", "path"])
+def shape(nodes: pd.Series, edges: pd.Series) -> pd.DataFrame:
+    """What column expressions cannot say of a graph, or only node by node and uncompiled: one pass over its lines."""
+    return pd.DataFrame([shape_of(n, e) for n, e in zip(nodes, edges)], columns=["cycle", "longest", "degree", "types", "path"])
 
 
 def with_shape(slices: DataFrame) -> DataFrame:
-    """`slices` with `shape`, a column of its own: higher-order functions can't hold a Python function."""
-    numbered = F.filter("nodes", lambda n: n.rlike(NODE))
-    ids = F.transform(numbered, lambda n: F.regexp_extract(n, NODE, 1).cast("long"))
-    tokens = F.transform(numbered, lambda n: path_token(strip(F.regexp_replace(n, NODE + r"\s*", ""))))
-    return slices.withColumn("shape", shape(ids, tokens, edges_of(F.col("edges"))))
+    """`slices` with `shape`."""
+    return slices.withColumn("shape", shape("nodes", "edges"))
 
 
 def features(nodes: Column, edges: Column, api: Column, walk: Column) -> Column:
     """The 25 features: 7 of topology, 8 of statement types, 10 of the API's category."""
-    n, m, degree = F.size(nodes), F.size(edges), max_out_degree(node_ids(nodes), edges_of(edges))
+    n, m, degree = F.size(nodes), F.size(edges), walk["degree"]
     topology = F.array(
         log_norm(n, 50),
         log_norm(m, 100),
@@ -192,7 +251,7 @@ def features(nodes: Column, edges: Column, api: Column, walk: Column) -> Column:
         walk["cycle"],
         log_norm(walk["longest"], 30),
     )
-    return F.concat(topology, histogram(F.transform(nodes, lambda n: statement_type(n))), one_hot(category(api), C.API_CATEGORIES))
+    return F.concat(topology, walk["types"], one_hot(category(api), C.API_CATEGORIES))
 
 
 def path_token(statement: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,6 +86,20 @@ def token_estimate(c: Column) -> Column:
     return F.floor(F.length(c) / 3).cast("long")
 
 
+def tokenizer_count(c: Column, path: str) -> Column:
+    """Tokens by a tokenizer file that the workers can read; null has none. Arrow batches, the tokenizer loaded once a worker."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        for texts in batches:
+            yield pd.Series([len(x.ids) for x in model.encode_batch([t or "" for t in texts], add_special_tokens=False)])
+
+    return count(c)
+
+
 def log_norm(x: Column, scale: float) -> Column:
     return F.least(F.lit(1.0), F.log1p(x.cast("double")) / F.log1p(F.lit(float(scale))))
 

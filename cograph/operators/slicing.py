@@ -3,6 +3,9 @@
 methods(method_id, class, name, concrete) · units(method_id, unit_id, pos, kind, text, callee_class, callee_name,
 arg_locals, base_local) · uses(method_id, unit_id, local) · reaching_defs(method_id, unit_id, local, def_unit_id) ·
 cfg_edges(method_id, src, dst)
+
+Which units a slice holds depends on the order of a unit's uses, of a use's definitions and of a unit's predecessors.
+The last three tables may have an `ordinal` column that gives it; without one, names and numbers do.
 """
 
 from __future__ import annotations
@@ -30,40 +33,53 @@ def criteria(methods: DataFrame, units: DataFrame) -> DataFrame:
 def backward(seed: int, seed_locals, uses: dict, defs: dict, branches: dict) -> list[int]:
     """Units of one slice in the order found.
 
-    A queue in order of discovery: a unit's definitions are followed for those of its locals that matter by then,
-    and what a definition uses matters from then on for the whole slice; each unit is expanded once.
+    A queue in order of discovery: a unit's uses are taken one by one, and the definitions of those that matter by
+    then are followed. What a new definition uses matters from then on for the whole slice, the rest of the same
+    unit's uses included; each unit is expanded once.
     """
     matter, seen, queue = set(seed_locals), {seed: None}, deque([seed])
+
+    def reach(unit: int) -> bool:
+        fresh = unit not in seen
+        if fresh:
+            seen[unit] = None
+            queue.append(unit)
+        return fresh
+
     while queue:
         unit = queue.popleft()
-        found = [d for local in uses.get(unit, ()) if local in matter for d in defs.get((unit, local), ())]
-        for d in found:
-            if d not in seen:
-                seen[d] = None
-                queue.append(d)
-                matter.update(uses.get(d, ()))
+        for local in uses.get(unit, ()):
+            for d in defs.get((unit, local), ()) if local in matter else ():
+                if reach(d):
+                    matter.update(uses.get(d, ()))
         for p in branches.get(unit, ()):
-            if p not in seen:
-                seen[p] = None
-                queue.append(p)
+            reach(p)
     return list(seen)
 
 
 def slice_units(criteria_: DataFrame, units: DataFrame, uses: DataFrame, reaching_defs: DataFrame, cfg_edges: DataFrame) -> DataFrame:
     """criterion_id, unit_id, error: one task holds one method's tables, which are small; a failure stays with its slice."""
+    jumps = units.filter(F.col("kind").isin("if", "goto")).select("method_id", F.col("unit_id").alias("src"))
+
+    def fact(table: DataFrame, kind: str, a: str, local: str | None, b: str | None) -> DataFrame:
+        order = F.col("ordinal").cast("long") if "ordinal" in table.columns else F.lit(0).cast("long")
+        name = F.col(local) if local else F.lit(None).cast("string")
+        to = F.col(b).cast("long") if b else F.lit(None).cast("long")
+        return table.select("method_id", F.lit(kind).alias("fact"), F.col(a).alias("a"), order.alias("ordinal"), name.alias("local"), to.alias("b"))
+
     facts = (
-        uses.select("method_id", F.lit("use").alias("fact"), F.col("unit_id").alias("a"), "local", F.lit(None).cast("long").alias("b"))
-        .unionByName(reaching_defs.select("method_id", F.lit("def").alias("fact"), F.col("unit_id").alias("a"), "local", F.col("def_unit_id").cast("long").alias("b")))
-        .unionByName(cfg_edges.join(units.filter(F.col("kind").isin("if", "goto")).select("method_id", F.col("unit_id").alias("src")), ["method_id", "src"]).select("method_id", F.lit("branch").alias("fact"), F.col("dst").alias("a"), F.lit(None).cast("string").alias("local"), F.col("src").cast("long").alias("b")))
+        fact(uses, "use", "unit_id", "local", None)
+        .unionByName(fact(reaching_defs, "def", "unit_id", "local", "def_unit_id"))
+        .unionByName(fact(cfg_edges.join(jumps, ["method_id", "src"], "left_semi"), "branch", "dst", None, "src"))
     )
     facts = facts.join(criteria_.select("method_id").distinct(), "method_id", "left_semi").withColumnRenamed("method_id", "of_method")
 
     def run(key, seeds: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         use, defs, branches = defaultdict(list), defaultdict(list), defaultdict(list)
-        for fact, a, local, b in sorted(rows[["fact", "a", "local", "b"]].itertuples(index=False), key=lambda r: (r[0], r[1], str(r[2]), r[3] if r[3] == r[3] else -1)):
-            if fact == "use":
+        for kind, a, _, local, b in rows.sort_values(["fact", "a", "ordinal", "local", "b"])[["fact", "a", "ordinal", "local", "b"]].itertuples(index=False, name=None):
+            if kind == "use":
                 use[a].append(local)
-            elif fact == "def":
+            elif kind == "def":
                 defs[a, local].append(int(b))
             else:
                 branches[a].append(int(b))

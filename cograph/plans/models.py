@@ -94,6 +94,8 @@ def register(name: str, factory: Callable[..., Model], *aliases: str) -> None:
 
 
 def create(name: str, **options) -> Model:
+    from cograph.plans import backends  # noqa: F401  registers the services
+
     name = ALIASES.get(name.lower(), name.lower())
     if name not in _REGISTRY:
         raise KeyError(f"no backend {name}; there are {sorted(_REGISTRY)}")
@@ -101,8 +103,9 @@ def create(name: str, **options) -> Model:
 
 
 def keys_from_environment(name: str) -> list[str]:
-    """NAME, NAME_1, NAME_2, ...: the keys of a service, in order, each once."""
-    found = [os.environ.get(name, "")] + [v for k, v in sorted(os.environ.items()) if re.fullmatch(rf"{re.escape(name)}_\d+", k)]
+    """NAME, NAME1 or NAME_1, NAME2, ...: the keys of a service, in order, each once."""
+    mine = {int(m[1]): v for k, v in os.environ.items() if (m := re.fullmatch(rf"{re.escape(name)}_?(\d+)", k))}
+    found = [os.environ.get(name, ""), *(mine[i] for i in sorted(mine))]
     return list(dict.fromkeys(k.strip() for k in found if k.strip()))
 
 

@@ -90,9 +90,20 @@ def retrieval_context(hits: DataFrame, most: int = 6) -> DataFrame:
     return told.select("sha256", F.concat(head, F.array_join(F.transform("s", lambda x: x["line"]), "\n\n")).alias("context"))
 
 
-def single_call(apps: DataFrame, slices: DataFrame, model: M.Model, context: DataFrame | None = None, no_filter: bool = False) -> DataFrame:
-    """sha256, prediction, confidence, analysis, error: all packed functions of an app in one prompt."""
+def retrieved(slices: DataFrame, kb: DataFrame, **options) -> DataFrame:
+    """sha256, context: what the knowledge base holds that is like an app's functions (options: of `stratified_hits`)."""
+    from cograph.plans.retrieval import stratified_hits  # the retrieval plans use the cleaning above
+
+    return retrieval_context(stratified_hits(slices, kb, **options))
+
+
+def single_call(apps: DataFrame, slices: DataFrame, model: M.Model, context: DataFrame | None = None, no_filter: bool = False, kb: DataFrame | None = None) -> DataFrame:
+    """sha256, prediction, confidence, analysis, error: all packed functions of an app in one prompt.
+
+    context: sha256 and what is told about similar functions; kb: a knowledge base to find them in instead.
+    """
     kept = cleaned(slices, no_filter)
+    context = retrieved(kept, kb) if kb is not None and context is None else context
     budget = max(C.LEAST_BUDGET, model.budget - C.PROMPT_OVERHEAD)
     docs = grouped_document(kept, budget)
     docs = docs.join(context, "sha256", "left") if context is not None else docs.withColumn("context", F.lit(None).cast("string"))

@@ -187,7 +187,8 @@ def run_summary(spark, d):
     return evaluation.run_summary(_judged(spark, d), keys=("source",)).withColumn("accuracy_percent", F.round("accuracy_percent", 6))
 
 
-@query()
+@query("""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1)::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, md5(text) AS h
+FROM (SELECT doc_id, text, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws(':', source, lang, doc_id::VARCHAR))) AS h FROM documents)""")
 def uuid5_key(spark, d):
     """STR-10, STR-9."""
     return read(spark, d, "documents").select("doc_id", X.uuid5(F.concat_ws(":", "source", "lang", F.col("doc_id").cast("string"))).alias("id"), F.md5("text").alias("h"))
@@ -320,14 +321,40 @@ def graph_degree(spark, d):
     return s.select("sha256", F.regexp_extract("function_name", r"com\.u(\d+)", 1).cast("long").alias("u"), degree.alias("degree"), F.round(G.edge_density(F.size("nodes"), F.size("edges")), 9).alias("density"))
 
 
-@query()
+#: The generated graphs: a chain in which node n leads to n + 1, or back to 1 where its event's number is divisible by 7.
+_CHAIN = f"(SELECT *, n < m AND event_id % 7 = 0 AS back, min(CASE WHEN n < m AND event_id % 7 = 0 THEN n END) OVER (PARTITION BY sha256, user_id) AS f1, min(CASE WHEN n < m AND event_id % 7 = 0 THEN n END) OVER (PARTITION BY sha256, user_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS j FROM ({_N}))"
+#: The longest simple path from n: to the end, or to the next way back j and on from 1 to what was there before.
+_WALK = "CASE WHEN j IS NULL THEN m - n + 1 WHEN f1 < n THEN j - n + 1 + f1 ELSE j END"
+_LOG = lambda x, scale: f"least(1.0, ln(1 + {x}) / ln({scale + 1}.0))"
+_HOT = [f"CASE WHEN user_id % 5 = {k} THEN 1.0 ELSE 0.0 END" for k in range(5)]
+_FEATURES = (
+    _LOG("m", 50), _LOG("(m - 1)", 100), "least(1.0, (m - 1)::DOUBLE / greatest(1, m * (m - 1)))", _LOG("least(1, m - 1)", 10), "0.0", "CASE WHEN f1 IS NULL THEN 0.0 ELSE 1.0 END", _LOG("least(30, walk)", 30),
+    "t0 / m", "0.0", "t2 / m", "t1 / m", "0.0", "t3 / m", "0.0", "0.0",
+    _HOT[2], _HOT[0], "0.0", _HOT[3], "0.0", "0.0", "0.0", _HOT[1], _HOT[4], "0.0",
+)
+
+
+@query(f"""SELECT sha256, (row_number() OVER (PARTITION BY sha256 ORDER BY user_id) - 1)::INT AS slice_pos, {', '.join(f"round(({x})::DOUBLE, 6) AS f{i}" for i, x in enumerate(_FEATURES))}
+FROM (SELECT sha256, user_id, m, f1, max({_WALK}) AS walk, {', '.join(f"count(*) FILTER (event_id % 4 = {k})::DOUBLE AS t{k}" for k in range(4))} FROM {_CHAIN} GROUP BY ALL)""")
 def graph_features(spark, d):
-    """GRF-2..5, GRF-4."""
+    """GRF-2..5."""
     f = G.features(F.col("nodes"), F.col("edges"), F.col("suspicious_api"), F.col("shape"))
-    return G.with_shape(_slices(spark, d)).select("sha256", "slice_pos", F.transform(f, lambda x: F.round(x, 6)).alias("features"))
+    made = G.with_shape(_slices(spark, d)).select("sha256", "slice_pos", f.alias("f"))
+    return made.select("sha256", "slice_pos", *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(len(_FEATURES))])
 
 
-@query()
+#: Breadth first: what comes behind a way back starts a chain of its own; the first chain that goes back brings 1 and its chain.
+_VISITED = f"""WITH c AS (SELECT *, coalesce(sum(back::INT) OVER (PARTITION BY sha256, user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM {_CHAIN}),
+s AS (SELECT sha256, user_id, seg, min(n) AS low, count(*) AS len, max(back::INT) AS goes FROM c GROUP BY ALL),
+e AS (SELECT sha256, user_id, min(len) AS len, arg_min(seg, len * 1000000 + seg) AS seg FROM s WHERE seg > 0 AND goes = 1 GROUP BY ALL),
+o AS (SELECT c.*, CASE WHEN c.seg > 0 OR c.f1 IS NULL THEN c.n - s.low WHEN e.len IS NULL THEN 1000000000 + c.n ELSE e.len + c.n - 1 END AS level, CASE WHEN c.seg > 0 OR e.seg IS NULL THEN c.seg ELSE e.seg END AS turn
+FROM c JOIN s ON c.sha256 = s.sha256 AND c.user_id = s.user_id AND c.seg = s.seg LEFT JOIN e ON c.sha256 = e.sha256 AND c.user_id = e.user_id),
+t AS (SELECT *, ['go', 'branch', 'param(Context)', 'cast(String)'][(event_id % 4)::INT + 1] AS token FROM o)"""
+
+
+@query(f"""{_VISITED}, k AS (SELECT *, lag(token) OVER (PARTITION BY sha256, user_id ORDER BY level, turn) AS p FROM t)
+SELECT sha256, (row_number() OVER (PARTITION BY sha256 ORDER BY user_id) - 1)::INT AS slice_pos, 'FUNC: com.u' || (user_id % 50) || '.A.' || CASE WHEN user_id < 50 THEN 'go' ELSE 'm' || user_id END || ' | API: '
+|| ['getDeviceId', 'exec', 'forName', 'sendTextMessage', 'query'][(user_id % 5)::INT + 1] || ' | PATH: ' || string_agg(token, ' -> ' ORDER BY level, turn) FILTER (p IS NULL OR p <> token) AS path FROM k GROUP BY sha256, user_id""")
 def linearize(spark, d):
     """GRF-6, STR-7."""
     return G.with_shape(_slices(spark, d)).select("sha256", "slice_pos", G.linear_path(F.col("function_name"), F.col("suspicious_api"), F.col("shape")).alias("path"))
@@ -353,7 +380,7 @@ def l2_normalise(spark, d):
 
 @query(f"SELECT vec_id, other, round({_COS}, 4) AS cosine FROM (SELECT x.vec_id, y.vec_id AS other, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)")
 def cosine_pairs(spark, d):
-    """ARR-2, ARR-3: each vector with the next."""
+    """ARR-3: each vector with the next."""
     e = read(spark, d, "embeddings").select("vec_id", "embedding")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("b"))
     return e.join(nxt, "vec_id").select("vec_id", "other", F.round(V.cosine(F.col("embedding"), F.col("b")), 4).alias("cosine"))
@@ -423,7 +450,11 @@ def top_family(spark, d):
     return neighbours.top_group(hits, "query_id", "family", 0.2)
 
 
-@query()
+@query(f"""WITH RECURSIVE h AS (SELECT query_id, kb_id, label, n AS rank, query_id // 1000 AS app, label || ':' || (kb_id % 97) AS claim, row_number() OVER (PARTITION BY query_id // 1000 ORDER BY query_id, label, n) AS i FROM ({_top(20, 'query_id')})),
+r AS (SELECT app, 0::BIGINT AS i, -1::BIGINT AS query_id, '' AS label, 0::BIGINT AS kb_id, 0 AS held, []::VARCHAR[] AS claimed, false AS kept FROM (SELECT DISTINCT app FROM h)
+UNION ALL SELECT app, i, query_id, label, kb_id, had + ok::INT, CASE WHEN ok THEN list_append(claimed, claim) ELSE claimed END, ok FROM (SELECT *, had < 3 AND NOT list_contains(claimed, claim) AS ok FROM
+(SELECT h.*, r.claimed, CASE WHEN r.query_id = h.query_id AND r.label = h.label THEN r.held ELSE 0 END AS had FROM r JOIN h ON h.app = r.app AND h.i = r.i + 1)))
+SELECT query_id, kb_id, label FROM r WHERE kept""")
 def claim_dedup(spark, d):
     """WIN-7."""
     hits = neighbours.nearest(*_base(spark, d), 20).withColumn("app", F.floor(F.col("query_id") / 1000)).withColumn("claim", F.concat_ws(":", "label", F.pmod("kb_id", F.lit(97)).cast("string")))
@@ -446,7 +477,13 @@ def group_priority(spark, d):
     return calls.group_order(read(spark, d, "events"), "user_id", "event_type", "event_id", X.high_risk(F.col("event_type"), ["click"]))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, lang, doc_id, md5(text) AS name, length(text) // 3 AS cost FROM documents),
+g AS (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'de' THEN 1 ELSE 0 END DESC, count(*) DESC, min(doc_id)) AS gr FROM d GROUP BY source, lang),
+h AS (SELECT d.*, gr, row_number() OVER (PARTITION BY d.source ORDER BY gr, doc_id) AS i FROM d JOIN g ON d.source = g.source AND d.lang = g.lang),
+r AS (SELECT source, '' AS lang, 0::BIGINT AS doc_id, 0::BIGINT AS cost, 0::BIGINT AS i, 0::BIGINT AS gr, false AS shut, 0::BIGINT AS used, []::VARCHAR[] AS names, false AS kept FROM (SELECT DISTINCT source FROM h)
+UNION ALL SELECT source, lang, doc_id, cost, i, gr, shut OR (free AND used + cost > 14000), CASE WHEN free AND used + cost <= 14000 THEN used + cost ELSE used END, CASE WHEN free AND used + cost <= 14000 THEN list_append(names, name) ELSE names END, free AND used + cost <= 14000
+FROM (SELECT *, NOT shut AND NOT list_contains(names, name) AS free FROM (SELECT h.*, CASE WHEN h.gr = r.gr THEN r.shut ELSE r.used >= 14000 END AS shut, r.used, r.names FROM r JOIN h ON r.source = h.source AND h.i = r.i + 1)))
+SELECT source, lang, doc_id, cost FROM r WHERE kept""")
 def budget_pack(spark, d):
     """WIN-12."""
     docs = read(spark, d, "documents").select("source", "lang", "doc_id", F.md5("text").alias("name"), X.token_estimate(F.col("text")).alias("cost"))
@@ -590,14 +627,19 @@ def staleness(spark, d):
     return S.staleness(read(spark, d, "documents").select("doc_id", content.alias("content")))
 
 
-@query()
+#: What the offline model notices of an app's calls: more than one of its signs is HIGH.
+_NOTICED = "count(DISTINCT CASE user_id % 5 WHEN 0 THEN 'getDeviceId' WHEN 1 THEN 'exec' WHEN 3 THEN 'sendTextMessage' END)"
+_OFFLINE = f"SELECT event_type AS sha256, CASE WHEN {_NOTICED} > 1 THEN 'MALWARE' ELSE 'BENIGN' END AS prediction"
+
+
+@query(f"{_OFFLINE} FROM events GROUP BY 1")
 def tier_rollup(spark, d):
     """LLM-6..10 with the offline model."""
     s = _slices(spark, d)
     return reasoning.three_tiers(s.select("sha256").distinct(), s, models.RuleModel(), verify=True).select("sha256", "prediction")
 
 
-@query()
+@query(f"{_OFFLINE}, CASE {_NOTICED} WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM events GROUP BY 1")
 def single_call(spark, d):
     """LLM-11 with the offline model."""
     s = _slices(spark, d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cograph.functions.vectors import normalise
 from cograph.operators.rows import keep_last
+from cograph.sources.stores import exists
 
 KEY = ("sha256", "function_name", "suspicious_api")
 
@@ -24,9 +25,11 @@ def upsert(base: DataFrame | None, new: DataFrame, order: str = "slice_pos") ->
 
 
 def save(df: DataFrame, path: str, recreate: bool = False) -> None:
-    """Writes vectors at length 1, partitioned by label; without `recreate`, what is there stays."""
+    """Writes vectors at length 1, partitioned by label; without `recreate`, what is there stays and nothing is computed."""
+    if not recreate and exists(df.sparkSession, path):
+        return
     out = df.withColumn("vector", normalise(F.col("vector")))
-    out.write.mode("overwrite" if recreate else "ignore").partitionBy("ground_truth").parquet(path)
+    out.write.mode("overwrite").partitionBy("ground_truth").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -42,5 +45,12 @@ def statistics(df: DataFrame, target: int | None = None) -> DataFrame:
     return out.withColumn("progress", F.least(F.lit(1.0), F.col("total") / F.lit(float(target)))) if target else out
 
 
+def storage(spark: SparkSession, path: str) -> DataFrame:
+    """ground_truth, points, files and bytes of what is stored, by partition."""
+    rows = spark.read.parquet(path).select("ground_truth", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    files = rows.groupBy("ground_truth", "file").agg(F.count("*").alias("points"), F.max("size").alias("size"))
+    return files.groupBy("ground_truth").agg(F.sum("points").alias("points"), F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
 def count_where(df: DataFrame, column: str, value) -> int:
     return df.filter(F.col(column) == value).count()

@@ -13,9 +13,13 @@ from cograph.operators.rows import keep_first, offset_limit
 FIELDS = "sha256 string, family string, date string, label double, vt double, vt_scan_date string, vt_year int"
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    """`row_pos`: the order of the scan (files by name, rows as they stand)."""
-    return df.withColumn("row_pos", F.monotonically_increasing_id())
+def with_position(files: DataFrame) -> DataFrame:
+    """`row_pos` of a file scan: files by name, their parts by place, rows as they stand.
+
+    The number of a row alone would not do: Spark deals parts of files to tasks by size.
+    """
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+    return files.withColumn("row_pos", at)
 
 
 def read_labels(spark: SparkSession, path: str, schema: str = FIELDS) -> DataFrame:
@@ -23,6 +27,12 @@ def read_labels(spark: SparkSession, path: str, schema: str = FIELDS) -> DataFra
     return with_position(spark.read.schema(schema).option("header", True).csv(path)).select("sha256", "family", "label", "row_pos")
 
 
+def write_labels(rows: DataFrame, path: str) -> None:
+    """A label CSV (sha256, family, label) with all columns that such files have."""
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names]).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def scan_labels(rows: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
     """Null keys dropped, keys trimmed and in lower case, the first row of each key, then offset and limit (0: all)."""
     rows = rows.filter("sha256 IS NOT NULL").withColumn("sha256", normal_key(F.col("sha256"))).withColumn("family", strip(F.col("family")))

@@ -12,8 +12,12 @@ from cograph.functions.text import freshness, strip
 def read_slice_files(spark: SparkSession, path: str) -> DataFrame:
     """sha256 (from the file name), path and content of every *_cfg.txt."""
     files = spark.read.option("pathGlobFilter", "*_cfg.txt").text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_cfg\.txt$", 1)
-    return files.select(F.lower(F.try_url_decode(name)).alias("sha256"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return files.select(slice_key(F.col("_metadata.file_name")).alias("sha256"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def slice_key(file_name: Column) -> Column:
+    """The key in a slice file's name, decoded and in lower case."""
+    return F.lower(F.try_url_decode(F.regexp_extract(file_name, r"^(.*)_cfg\.txt$", 1)))
 
 
 def worth_parsing(content: Column, least: int = 50) -> Column:

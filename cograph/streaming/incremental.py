@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cograph.sources.slices import slice_key
+
 
 def new_slice_files(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the slice files of a folder."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*_cfg.txt").schema("value string").load(path)
-    return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_cfg\.txt$", 1).alias("sha256"), F.col("value").alias("content"))
+    return files.select(slice_key(F.col("_metadata.file_name")).alias("sha256"), F.col("value").alias("content"))
+
+
+def watch(query, report: Callable[[dict], None], every: float = 3.0, rounds: int = 0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Polls a running query and reports what is new: batch, rows and rows a second. Returns the number of reports.
+
+    Ends when the query does, or after `rounds` polls (0: no bound).
+    """
+    told, last, n = 0, None, 0
+    while True:
+        active, now = query.isActive, query.lastProgress
+        if now is not None and (now["runId"], now["batchId"]) != last:
+            last, told = (now["runId"], now["batchId"]), told + 1
+            report({"batch": now["batchId"], "rows": now["numInputRows"], "rate": now["processedRowsPerSecond"]})
+        n += 1
+        if not active or n == rounds:
+            return told
+        sleep(every)
 
 
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], timeout: float | None = None) -> list[dict]:

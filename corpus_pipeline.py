@@ -3,7 +3,12 @@
 Languages that the byte network does not recognise go; one document of each group of near
 copies (SimHash candidates, five-word Jaccard of 0.8 or more) stays; documents that hold
 a benchmark item go; sources are repeated to their target weights; the token ids of what is left are written.
-Stages but the last return the columns of their input. The tables in between are Parquet in the shared folder.
+Stages but the last return the columns of their input, extra ones of any name included. The tables in between are Parquet
+in the shared folder; each goes when the next one is written.
+
+Defined cases: documents without text or without a letter are in no language and go at the first stage; of repeated
+rows and exact copies one stays, by the smallest doc_id (null last), ties by a hash of the row; a null source is a
+source of its own; very long texts are judged whole; empty tables pass through all stages as empty tables.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cograph.llm import contamination, language, mixing, nearcopies, tokens
-from cograph.llm.common import table, written
+from cograph.llm.common import remove, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for place, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, before = stage(spark, docs, sf_dir), path
         if place < len(STAGES) - 1:
-            docs, _ = written(docs, f"pipeline-{place}")
+            docs, path = written(docs, f"pipeline-{place}")
+        remove(spark, *([before] if before else []))
     return docs

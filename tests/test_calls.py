@@ -64,6 +64,130 @@ def test_backward_slice(spark):
     assert [r.function_name for r in S.parse_slices(both).collect()] == ["com.ex.A.go"]
 
 
+def test_slice_order():
+    """What a definition uses matters for the rest of the unit's uses; a use that came before is not taken back."""
+    uses, defs = {0: ["a", "b"], 1: ["b"]}, {(0, "a"): [1], (0, "b"): [2]}
+    assert slicing.backward(0, ["a"], uses, defs, {}) == [0, 1, 2]
+    assert slicing.backward(0, ["a"], {**uses, 0: ["b", "a"]}, defs, {}) == [0, 1]
+
+
+def plain_slice(seed, locals_, uses, defs, jumps):
+    """A queue, unit by unit, as the definition says it."""
+    relevant, found, queue = set(locals_), [seed], [seed]
+    for unit in queue:
+        for local in uses.get(unit, []):
+            if local in relevant:
+                for d in defs.get((unit, local), []):
+                    if d not in found:
+                        found.append(d)
+                        queue.append(d)
+                        relevant |= set(uses.get(d, []))
+        for p in jumps.get(unit, []):
+            if p not in found:
+                found.append(p)
+                queue.append(p)
+    return found
+
+
+def test_slices_of_tables(spark):
+    """Tables with ordinals, many methods at once, against the plain queue."""
+    rng, names = random.Random(3), "abcdef"
+    units, uses, defs, edges, want = [], [], [], [], {}
+    for m in range(12):
+        n = rng.randint(4, 25)
+        kinds = [rng.choice(("if", "goto", "assign", "assign")) for _ in range(n)]
+        u = {i: rng.sample(names, rng.randint(0, 3)) for i in range(n)}
+        d = {(i, x): rng.sample(range(n), rng.randint(0, 3)) for i in range(n) for x in u[i]}
+        pre = {i: rng.sample(range(n), rng.randint(0, 3)) for i in range(n)}
+        args = rng.sample(names, 2)
+        units += [(m, i, i, kinds[i], f"{i}", "java.lang.Runtime" if i == n - 1 else None, "exec" if i == n - 1 else None, args if i == n - 1 else [], None) for i in range(n)]
+        uses += [(m, i, x, k) for i, xs in u.items() for k, x in enumerate(xs)]
+        defs += [(m, i, x, to, k) for (i, x), ds in d.items() for k, to in enumerate(ds)]
+        edges += [(m, p, i, k) for i, ps in pre.items() for k, p in enumerate(ps)]
+        jumps = {i: [p for p in ps if kinds[p] in ("if", "goto")] for i, ps in pre.items()}
+        want[m] = sorted(plain_slice(n - 1, args, u, d, jumps))
+    table = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    units = table(units, "method_id long, unit_id long, pos int, kind string, text string, callee_class string, callee_name string, arg_locals array<string>, base_local string")
+    methods = table([(m, "com.ex.A", "go", True, "app") for m in range(12)], "method_id long, class string, name string, concrete boolean, sha256 string")
+    crit = slicing.criteria(methods, units)
+    made = slicing.slice_units(
+        crit, units, table(uses, "method_id long, unit_id long, local string, ordinal int"), table(defs, "method_id long, unit_id long, local string, def_unit_id long, ordinal int"), table(edges, "method_id long, src long, dst long, ordinal int")
+    )
+    got = {}
+    for r in made.collect():
+        assert r.error is None
+        got.setdefault(r.method_id, []).append(r.unit_id)
+    assert {m: sorted(v) for m, v in got.items()} == want
+
+
+def plain_reaching(defines, following, uses):
+    """By walking back from each use, one step at a time."""
+    before = {i: [j for j, ks in enumerate(following) if i in ks] for i in range(len(defines))}
+    out = set()
+    for i, names in enumerate(uses):
+        for local in names:
+            seen, todo = set(), list(before[i])
+            while todo:
+                j = todo.pop()
+                if j in seen:
+                    continue
+                seen.add(j)
+                if defines[j] == local:
+                    out.add((i, local, j))
+                else:
+                    todo += before[j]
+    return out
+
+
+def test_reaching():
+    from cograph.sources import ir
+
+    rng = random.Random(4)
+    for _ in range(100):
+        n = rng.randint(0, 12)
+        defines = [rng.choice(("a", "b", "c", None)) for _ in range(n)]
+        following = [rng.sample(range(n), min(n, rng.randint(0, 3))) for _ in range(n)]
+        uses = [rng.sample("abc", rng.randint(0, 2)) for _ in range(n)]
+        got = ir.reaching_of(defines, following, uses)
+        assert len(got) == len(set(got)) and set(got) == plain_reaching(defines, following, uses)
+
+
+def test_instruction_files(spark, tmp_path):
+    """Two archives of one app, framework classes, a broken line; sliced from what was read."""
+    import json
+
+    from cograph.sources import ir
+
+    unit = lambda text, defines=None, uses=(), nxt=(), kind="assign", **more: {"text": text, "defines": defines, "uses": list(uses), "next": list(nxt), "kind": kind, **more}
+    body = [unit("a = p", "a", [], [1]), unit("if a", None, ["a"], [2, 4], "if"), unit("b = a", "b", ["a"], [3]), unit("c = 1", "c", [], [4]), unit("exec(b)", None, ["b"], [], "invoke", callee_class="java.lang.Runtime", callee_name="exec", arguments=["b"])]
+    method = lambda cls: json.dumps({"class": cls, "name": "go", "concrete": True, "units": body})
+    (tmp_path / "AA.classes.jsonl").write_text("\n".join([method("com.ex.A"), "not json", method("android.app.X")]))
+    (tmp_path / "AA.classes2.jsonl").write_text("\n".join([method("com.ex.A"), method("com.ex.B")]))
+    methods = ir.read_methods(spark, str(tmp_path))
+    assert sorted((r.sha256, r["class"]) for r in methods.collect()) == [("aa", "com.ex.A"), ("aa", "com.ex.B")] and ir.read_methods(spark, str(tmp_path), no_filter=True).count() == 3
+    t = ir.tables(methods)
+    crit = slicing.criteria(t["methods"], t["units"])
+    nodes = slicing.numbered(slicing.slice_units(crit, t["units"], t["uses"], t["reaching_defs"], t["cfg_edges"]), t["units"])
+    assert sorted((r.unit_id, r.node) for r in nodes.collect()) == sorted([(0, 1), (1, 2), (2, 3), (4, 4)] * 2)
+
+
+def test_retrieval_in_single_call(spark):
+    """What the knowledge base holds reaches the prompt."""
+    from cograph.plans import retrieval
+
+    class Reader:
+        budget = 20_000
+
+        def chat(self, system, user, temperature=0.1):
+            return f"PREDICTION: {'MALWARE' if 'Match 1 (similarity' in user and '[1 MALWARE, 0 BENIGN]' in user else 'BENIGN'}\nCONFIDENCE: LOW"
+
+    slices = parsed(spark, CHAIN)
+    apps = slices.select("sha256").distinct()
+    kb = retrieval.build_kb(slices, apps.select("sha256", F.lit(1).alias("label"), F.lit("fam").alias("family")))
+    assert [(r.prediction, r.confidence) for r in reasoning.single_call(apps, slices, Reader(), kb=kb).collect()] == [("MALWARE", "LOW")]
+    assert [r.prediction for r in reasoning.single_call(apps, slices, Reader()).collect()] == ["BENIGN"]
+
+
 def test_models(spark):
     asked = []
 

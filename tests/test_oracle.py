@@ -3,7 +3,7 @@ import os
 import pytest
 from oracle import DATA, connect, same
 
-from cograph import queries
+from cograph import queries, round_trips  # noqa: F401  registers its queries
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
