@@ -28,8 +28,9 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Length 1; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    # The norm is the only element of an array, so that it is found once and not again for each component.
+    scaled = F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+    return F.element_at(scaled, 1)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -74,6 +75,27 @@ class HashEmbedder:
         return out
 
 
+class ModelEmbedder:
+    """A text-embedding model by an optional library (fastembed), loaded once a worker; vectors are brought to length 1."""
+
+    _loaded: dict[str, object] = {}
+
+    def __init__(self, name: str = "BAAI/bge-small-en", dim: int = C.EMBED_DIM, batch: int = 64):
+        self.name, self.dim, self.batch = name, dim, batch
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if self.name not in self._loaded:
+            from fastembed import TextEmbedding
+
+            self._loaded[self.name] = TextEmbedding(model_name=self.name)
+        found = list(self._loaded[self.name].embed([t or "" for t in texts], batch_size=self.batch))
+        out = np.asarray(found, dtype=np.float32).reshape(len(texts), -1)
+        if texts and out.shape[1] != self.dim:
+            raise ValueError(f"{self.name} has {out.shape[1]} dimensions, not {self.dim}")
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+
 def embedding(text: Column, embedder: Embedder | None = None) -> Column:
     model = embedder or HashEmbedder()
 

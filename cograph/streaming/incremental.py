@@ -56,5 +56,6 @@ def resumed_append(out: str, key: str = "sha256") -> Callable[[DataFrame, int],
 
 def progress(done: DataFrame, work: DataFrame, key: str = "sha256") -> DataFrame:
     """done, total and share, at most 1."""
-    n = done.select(key).distinct().agg(F.count("*").alias("done"))
-    return n.crossJoin(work.agg(F.count("*").alias("total"))).withColumn("share", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("done"), F.col("total")), F.lit(0.0))))
+    row = lambda df, d, t: df.select(F.lit(d).alias("d"), F.lit(t).alias("t"))
+    both = row(done.select(key).distinct(), 1, 0).unionByName(row(work, 0, 1)).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("done"), F.coalesce(F.sum("t"), F.lit(0)).alias("total"))
+    return both.withColumn("share", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("done"), F.col("total")), F.lit(0.0))))

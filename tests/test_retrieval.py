@@ -44,3 +44,34 @@ def test_metrics(spark, tp, tn, fp, fn, want):
     rows = [("MALWARE", "MALWARE")] * tp + [("BENIGN", "BENIGN")] * tn + [("BENIGN", "MALWARE")] * fp + [("MALWARE", "BENIGN")] * fn
     got = evaluation.metrics(evaluation.confusion(spark.createDataFrame(rows, "ground_truth string, prediction string"))).first()
     assert [round(got[c] * 100, 2) for c in ("accuracy", "precision", "recall", "f1", "fpr", "fnr")] == pytest.approx(want)
+
+
+def test_model_embedder(spark, monkeypatch):
+    """A library's model takes the stand-in's place; one of another dimension is an error."""
+    import sys
+    import types
+
+    from cograph.functions import vectors
+
+    class Model:
+        def __init__(self, model_name):
+            self.name = model_name
+
+        def embed(self, texts, batch_size):
+            return (np.array([len(t), 4.0]) for t in texts)
+
+    module = types.ModuleType("fastembed")
+    module.TextEmbedding = Model
+    monkeypatch.setitem(sys.modules, "fastembed", module)
+    assert np.allclose(vectors.ModelEmbedder("m", dim=2).embed(["abc", None]), [[0.6, 0.8], [0, 1]])
+    with pytest.raises(ValueError):
+        vectors.ModelEmbedder("m").embed(["abc"])
+
+
+def test_normalise(spark):
+    from pyspark.sql import functions as F
+
+    from cograph.functions import vectors
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<double>")
+    assert [r.n for r in df.select(vectors.normalise(F.col("v")).alias("n")).collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]
