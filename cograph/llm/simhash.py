@@ -238,23 +238,32 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     """(node, root) of every node of `edges` (a, b); root: the smallest node reached. Large-star, small-star rounds.
 
-    The rounds end when every node has one edge, to a node that has none: then all edges are stars.
+    The rounds end when every node has one edge, to a node that has none: then all edges are stars. Nodes with more
+    than half of an even share of the rows are dealt to several tasks; there are at most twice as many as tasks.
     """
     spark = edges.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc")
     while not _stars(now):
+        share = max(16, now.count() // tasks)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = _with_least(both, share).filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
         large = large.filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+        small = _with_least(large, share).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         after, new = written(small, "cc")
         remove(spark, path)
         now, path = after, new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")), [path]
 
 
+def _with_least(edges: DataFrame, share: int) -> DataFrame:
+    """`edges` (a, b) with the least b of each a; a node with more than `share` rows meets its least in several tasks."""
+    least = edges.groupBy("a").agg(F.min("b").alias("low"), (F.floor(F.count("*") / share) + 1).cast("int").alias("parts"))
+    hubs = least.filter("parts > 1").select(F.col("a").alias("hub"), F.col("parts").alias("of"))
+    dealt = edges.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("of")).cast("int"), F.lit(0)).alias("part"))
+    return dealt.join(least.select("a", "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["a", "part"])
+
+
 def _stars(edges: DataFrame) -> bool:
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("top")).union(edges.select("b", F.lit(0), F.lit(1)))
     return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("top").alias("top")).filter("down > 1 OR down + top > 1").isEmpty()
@@ -279,11 +288,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """One row of `docs` for each of `stay` (best.ref)."""
-    wanted = stay.select(F.col("best.ref").alias("wanted"))
+    """One row of `docs` for each of `stay` (best: doc_id and ref); a row is known by its id and a hash of id and text."""
+    wanted = stay.select(F.col("best.doc_id").alias("of"), F.col("best.ref").alias("wanted"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("ref"), F.xxhash64(*docs.columns).alias("tie"))
-    held = rows.join(wanted, F.col("ref") == F.col("wanted"), "left_semi")
-    return held.withColumn("place", F.row_number().over(W.partitionBy("ref").orderBy("tie"))).filter("place = 1").select("row.*")
+    held = rows.join(wanted, (F.col("ref") == F.col("wanted")) & F.col("row.doc_id").eqNullSafe(F.col("of")), "left_semi")
+    return held.withColumn("place", F.row_number().over(W.partitionBy("row.doc_id", "ref").orderBy("tie"))).filter("place = 1").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
