@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -65,6 +66,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, where = _file_system(spark, path)
         fs.delete(where, True)
+    gc.collect()  # frames that only cycles of Python objects hold are dropped first
     spark.sparkContext._jvm.System.gc()
 
 

@@ -4,9 +4,10 @@ Every document is parsed by recompression: runs of one word become one symbol, t
 neighbouring symbols of which the first is of the left and the second of the right class become one. Whether two
 symbols merge depends on their names alone, so equal substrings get the same symbols in their interior.
 
-Names are global. Each round is a Spark job over all documents: it collects the distinct runs or pairs of the round
-with the names that hashing proposes; where two different ones would share a name, all but the first are given
-another, until the round's names are one to one. The next round parses with these names. Words are the terminals.
+Names are global, and one to one over all documents: each round of recompression is a Spark job over all of them. It
+gathers the distinct pairs of the round (the first one the runs too) under the names that hashing proposes; where two
+different ones meet in a name, all but one get another, until no two meet. The next round parses with these names.
+Words are the terminals.
 
 With each symbol goes its zone: the words that decide that it is there. Wherever the zone's words stand, the symbol
 stands too, so equal windows hold the same symbols, save those whose zones reach out of the window. Every window of
@@ -243,66 +244,86 @@ def _row_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
+def _new_symbols(batches, names: Names, r: int):
+    """(name, left, right) of the pairs that round r makes of a task's texts (round 1: the runs too), some words at a time."""
+    for batch in batches:
+        for _, words, first in _parts(batch):
+            for at, (name, *_, new, left, right) in enumerate(parse(words, _row_of(first), names, r)):
+                if len(new) and at in ((0, 1) if r == 1 else (r,)):
+                    yield name[new], left, right
+
+
 def _made(names: Names, r: int):
-    """The distinct runs or pairs that round r makes of a task's texts: their parts and the names that they get."""
+    """The distinct names that round r makes of a task's texts, each with 32 bits of what it is made of."""
 
     def distinct(held):
-        name, left, right = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((right, left, name))
-        name, left, right = name[order], left[order], right[order]
-        fresh = np.concatenate([[True], (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])]) if len(name) else np.zeros(0, bool)
-        return name[fresh], left[fresh], right[fresh]
+        name, part = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(name)
+        name, part = name[order], part[order]
+        fresh = np.concatenate([[True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])])
+        return name[fresh], part[fresh]
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int32))], names=["name", "part"])
 
     def run(batches):
         held, many = [], 0
-        for batch in batches:
-            for _, words, first in _parts(batch):
-                for found in parse(words, _row_of(first), names, r):
-                    pass
-                if not len(words) or not len(found[6]):
-                    continue
-                held.append(distinct([(found[0][found[6]], *found[7:])]))
-                many += len(held[-1][0])
-                if many > FLUSH:
-                    held, before = [distinct(held)], many
-                    many = len(held[0][0])
-                    if many > before // 2:  # little is seen again: let Spark have it
-                        yield out(held[0])
-                        held, many = [], 0
+        for name, left, right in _new_symbols(batches, names, r):
+            held.append((name, (splitmix(splitmix(left ^ np.uint64(0x2545F4914F6CDD1D)) + right) >> np.uint64(32)).astype(np.uint32)))
+            many += len(name)
+            if many > FLUSH:
+                yield out(distinct(held))
+                held, many = [], 0
         if held:
             yield out(distinct(held))
 
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["name", "l", "r"])
+    return run
+
+
+def _meant(names: Names, r: int, wanted: list[int] | None = None):
+    """(name, l, r): what the wanted names (None: all) are made of."""
+
+    def run(batches):
+        for name, left, right in _new_symbols(batches, names, r):
+            some = slice(None) if wanted is None else np.isin(name, np.array(wanted, dtype=np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (name, left, right)], names=["name", "l", "r"])
 
     return run
 
 
+def _doubled(texts: DataFrame, names: Names, r: int) -> list[int]:
+    """The names of round r in which different parts meet."""
+    made = texts.transform(mapped(_made(names, r), "name long, part int")).groupBy("name").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    double = made.filter("a <> b").select("name")
+    return [] if double.isEmpty() else [x.name for x in double.collect()]
+
+
 def named_globally(texts: DataFrame, rounds: int = ROUNDS, keep: int | None = None) -> Names:
-    """The Spark rounds: names of all runs and pairs of `texts` (text), one to one within each round.
+    """The Spark rounds: names of all runs and pairs of `texts` (text), one to one over all documents.
 
-    Two parts that hash to one name are rare (about n ** 2 / 2 ** 62 of n symbols), so the exceptions fit the driver.
+    Round r gathers the names proposed for its pairs (the first one for the runs too). Where two parts meet in a name,
+    all but one of them get another, and the round is run again; the rounds above it parse with its names. Names that
+    meet are rare (about n ** 2 / 2 ** 62 of n symbols), so they fit the driver.
     """
     keep = keep or KEEP
     others: dict[int, dict[tuple[int, int], int]] = {r: {} for r in range(rounds + 1)}
-    for r in others:
-        salt = 0
-        while True:
-            names = Names(others, keep)
-            made = texts.transform(mapped(_made(names, r), "name long, l long, r long"))
-            double = made.groupBy("name").agg(*[f(c).alias(f"{g}{c}") for c in "lr" for g, f in (("least_", F.min), ("most_", F.max))])
-            double = double.filter("least_l <> most_l OR least_r <> most_r").select("name")
-            if double.isEmpty():
-                break
-            clash = made.join(double, "name").distinct().select("name", "l", "r").collect()
-            salt += 1
-            first: set[int] = set()
-            for x in sorted(clash, key=lambda x: ((x.l & _ALL, x.r & _ALL) in others[r], x.l & _ALL, x.r & _ALL)):
-                if x.name in first:
-                    key = (x.l & _ALL, x.r & _ALL)
-                    others[r][key] = names.proposed(*key, r, salt)
-                first.add(x.name)
-        remove(texts.sparkSession)
+    r, salt = 1, 0
+    while r <= rounds:
+        names = Names(others, keep)
+        double = _doubled(texts, names, r)
+        remove(texts.sparkSession)  # nothing here holds the round's frames any more, so its shuffle goes
+        if not double:
+            r += 1
+            continue
+        lowest = min(x & 7 for x in double)
+        double = [x for x in double if x & 7 == lowest]
+        salt += 1
+        clash = texts.transform(mapped(_meant(names, r, double), "name long, l long, r long")).distinct().collect()
+        known, first = others[lowest], set()
+        for x in sorted(clash, key=lambda x: ((x.l & _ALL, x.r & _ALL) in known, x.l & _ALL, x.r & _ALL)):
+            if x.name in first:
+                known[x.l & _ALL, x.r & _ALL] = names.proposed(x.l & _ALL, x.r & _ALL, lowest, salt)
+            first.add(x.name)
     return Names(others, keep)
 
 

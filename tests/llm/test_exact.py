@@ -63,10 +63,10 @@ def test_global_names(spark, monkeypatch):
 
 
 def _made_names(docs, names):
-    out = {}
-    for r in range(substrings.ROUNDS + 1):
-        made = docs.select("text").transform(substrings.mapped(substrings._made(names, r), "name long, l long, r long")).distinct().collect()
-        out[r] = {(x.l, x.r): x.name for x in made}
+    out = {r: {} for r in range(substrings.ROUNDS + 1)}
+    for r in range(1, substrings.ROUNDS + 1):
+        for x in docs.select("text").transform(substrings.mapped(substrings._meant(names, r), "name long, l long, r long")).distinct().collect():
+            out[x.name & 7][x.l, x.r] = x.name
     return out
 
 
