@@ -309,3 +309,25 @@ def test_url_rules(spark):
     assert index.best(["b", "a"]).verdict == "block" and index.best(["a"]) is None
     assert urls.mine(spark.createDataFrame(rows[:4], "tokens array<string>, label string")) == []
     assert urls.mine(spark.createDataFrame([], "tokens array<string>, label string")) == []
+
+
+def test_url_rules_of_long_rows(spark):
+    """No token of a row is left out: a rule of tokens that tell least is found beside more than ten that tell more."""
+    rng, rows = random.Random(11), []
+    for _ in range(240):
+        label = rng.choice(["allow", "block"])
+        tokens = [t for t in "abcdefghijkl" if rng.random() < (0.95 if label == "block" else 0.8)]
+        tokens += ["y", "z"] if label == "allow" and rng.random() < 0.5 else rng.choice([["y"], ["z"]])
+        rows.append((tokens, label))
+    rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), support=0.05)
+    got = {(r.tokens, r.verdict): round(r.confidence, 9) for r in rules}
+    assert got == {k: round(c, 9) for k, c in plain_rules(rows, 12, urls.CONFIDENCE).items()}
+    assert got[("y", "z"), "allow"] == 1 and max(len(t) for t, _ in rows) > 12
+
+
+def test_url_rules_of_chains(spark):
+    """Rows of 60 frequent tokens, each a part of the one before: 2 ** 60 itemsets, of which few can be rules."""
+    rows = [([f"t{j:02}" for j in range(i % 60 + 1)], "block" if i % 60 >= 30 else "allow") for i in range(1200)]
+    rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    got = {r.tokens: (r.verdict, r.confidence) for r in rules}
+    assert got == {(f"t{j:02}",): ("block", min(30, 60 - j) / (60 - j)) for j in range(27, 60)}
