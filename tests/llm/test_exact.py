@@ -6,6 +6,8 @@ import re
 import textwrap
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,21 @@ def test_tokens(odd, odd_rows, empty, spark):
 SPECIAL = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|STARTOFTEXT|>y", "a <|endoftext|>b", "<|startoftext|><|endoftext|>", "ABC<DEF> It's <b>Bold</b>, A<B. end.", "<", "< |endoftext|>"]
 
 
+def test_token_pieces():
+    """Ids of odd mixtures are those of whole-text encoding; a word is learned once for all marks behind it, in any case."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    whole, encoder, rng = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(5)
+    parts = [*"abstveßÉÀÞ×÷µªÿŸİſ0 19²\"'***.,!&%$#()<>|[]`~^_=-+/@{};:", "\u0301", "\u0338", "\u0327", "東", "\x00", "\x1c", "\x85", " ", " ", "\n", "'s", "'re", "<|endoftext|>", "<|EndOfText|>", "*" * 15, "*" * 16, "*" * 17, "The"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(1500)]
+    ids, sizes = encoder.encode(pa.array(texts), end=None)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    encoder = tokens.Encoder(path)
+    encoder.encode(pa.array(["straße straße. Straße!! STRAße*** straße?! a+ A+"]))
+    assert set(encoder.known) == {x.encode() for x in ("straße", ".", "!!", "***", "?!", "a", "+")}
+
+
 def test_special_tokens(spark):
     from tokenizers import Tokenizer
 
