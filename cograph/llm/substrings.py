@@ -4,10 +4,10 @@ Every document is parsed by recompression: runs of one word become one symbol, t
 neighbouring symbols of which the first is of the left and the second of the right class become one. Whether two
 symbols merge depends on their names alone, so equal substrings get the same symbols in their interior.
 
-Names are global, and one to one over all documents: each round of recompression is a Spark job over all of them. It
-gathers the distinct pairs of the round (the first one the runs too) under the names that hashing proposes; where two
-different ones meet in a name, all but one get another, until no two meet. The next round parses with these names.
-Words are the terminals.
+Names are global, and one to one over all documents: a Spark job over all of them gathers the distinct pairs of every
+round (for the first one the runs too) under the names that hashing proposes, in buckets by their first bits. Where two different ones meet in a name,
+all but one of the lowest such round get another, and the rounds from there on are gathered again with these names, until
+no two meet. Words are the terminals.
 
 With each symbol goes its zone: the words that decide that it is there. Wherever the zone's words stand, the symbol
 stands too, so equal windows hold the same symbols, save those whose zones reach out of the window. Every window of
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from cograph.llm.common import mapped, remove, splitmix, table, text_bytes, word_hashes, word_spans, written
 
-WINDOW, ROUNDS, LEAST_ZONE, PIECE, LONGEST, BATCH_WORDS, FLUSH = 13, 3, 6, 16, 64, 150_000, 1_000_000
+WINDOW, ROUNDS, LEAST_ZONE, PIECE, LONGEST, BATCH_WORDS, FLUSH, BUCKET_BITS = 13, 3, 6, 16, 64, 150_000, 1_000_000, 12
 #: Names are hashes without their last three bits, which hold the round: names of two rounds never meet.
 KEEP = 0xFFFFFFFFFFFFFFF8
 _FAR = 1 << 20
@@ -244,78 +244,108 @@ def _row_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def _new_symbols(batches, names: Names, r: int):
-    """(name, left, right) of the pairs that round r makes of a task's texts (round 1: the runs too), some words at a time."""
+def _new_symbols(batches, names: Names, low: int, high: int):
+    """(round, name, left, right) of the pairs that rounds low to high make of a task's texts (round 1: the runs too), some words at a time."""
     for batch in batches:
         for _, words, first in _parts(batch):
-            for at, (name, *_, new, left, right) in enumerate(parse(words, _row_of(first), names, r)):
-                if len(new) and at in ((0, 1) if r == 1 else (r,)):
-                    yield name[new], left, right
+            for at, (name, *_, new, left, right) in enumerate(parse(words, _row_of(first), names, high)):
+                if len(new) and at >= (low if low > 1 else 0):
+                    yield at, name[new], left, right
 
 
-def _made(names: Names, r: int):
-    """The distinct names that round r makes of a task's texts, each with 32 bits of what it is made of."""
+def _made(names: Names, low: int, high: int):
+    """(bucket, made): the distinct names that rounds low to high make of a task's texts, by their first bits.
+
+    A row has some names of a bucket, eight bytes each, and then for each 32 bits of what it is made of.
+    """
 
     def distinct(held):
         name, part = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(name)
         name, part = name[order], part[order]
         fresh = np.concatenate([[True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])])
-        return name[fresh], part[fresh]
-
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int32))], names=["name", "part"])
+        name, part = name[fresh].astype("<u8"), part[fresh].astype("<u4")
+        bucket = (name >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        edges = np.append(begin, len(name)).tolist()
+        made = [name[i:j].tobytes() + part[i:j].tobytes() for i, j in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(made, pa.binary())], names=["bucket", "made"])
 
     def run(batches):
-        held, many = [], 0
-        for name, left, right in _new_symbols(batches, names, r):
-            held.append((name, (splitmix(splitmix(left ^ np.uint64(0x2545F4914F6CDD1D)) + right) >> np.uint64(32)).astype(np.uint32)))
-            many += len(name)
-            if many > FLUSH:
-                yield out(distinct(held))
-                held, many = [], 0
-        if held:
-            yield out(distinct(held))
+        held, many = [[] for _ in range(high + 1)], [0] * (high + 1)
+        for at, name, left, right in _new_symbols(batches, names, low, high):
+            held[at].append((name, (splitmix(splitmix(left ^ np.uint64(0x2545F4914F6CDD1D)) + right) >> np.uint64(32)).astype(np.uint32)))
+            many[at] += len(name)
+            if many[at] > FLUSH:
+                yield distinct(held[at])
+                held[at], many[at] = [], 0
+        for some in held:
+            if some:
+                yield distinct(some)
 
     return run
 
 
+def _met(batches):
+    """The names in which different parts meet, from the rows of `_made` in the order of their buckets; whole buckets at a time."""
+
+    def double(held):
+        name = np.concatenate([np.frombuffer(x, "<u8", len(x) // 12) for x in held])
+        part = np.concatenate([np.frombuffer(x, "<u4", len(x) // 12, len(x) // 12 * 8) for x in held])
+        order = np.argsort(name)
+        name, part = name[order], part[order]
+        begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        met = np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin)
+        return pa.RecordBatch.from_arrays([pa.array(name[begin[met]].astype(np.uint64).view(np.int64))], names=["name"])
+
+    held, many, last = [], 0, None
+    for batch in batches:
+        for bucket, made in zip(batch.column("bucket").to_pylist(), batch.column("made").to_pylist()):
+            if bucket != last and many > FLUSH:
+                yield double(held)
+                held, many = [], 0
+            held.append(made)
+            many, last = many + len(made) // 12, bucket
+    if held:
+        yield double(held)
+
+
 def _meant(names: Names, r: int, wanted: list[int] | None = None):
     """(name, l, r): what the wanted names (None: all) are made of."""
 
     def run(batches):
-        for name, left, right in _new_symbols(batches, names, r):
+        for _, name, left, right in _new_symbols(batches, names, r, r):
             some = slice(None) if wanted is None else np.isin(name, np.array(wanted, dtype=np.int64).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (name, left, right)], names=["name", "l", "r"])
 
     return run
 
 
-def _doubled(texts: DataFrame, names: Names, r: int) -> list[int]:
-    """The names of round r in which different parts meet."""
-    made = texts.transform(mapped(_made(names, r), "name long, part int")).groupBy("name").agg(F.min("part").alias("a"), F.max("part").alias("b"))
-    double = made.filter("a <> b").select("name")
-    return [] if double.isEmpty() else [x.name for x in double.collect()]
+def _doubled(texts: DataFrame, names: Names, low: int, high: int) -> list[int]:
+    """The names of rounds low to high in which different parts meet."""
+    made = texts.transform(mapped(_made(names, low, high), "bucket int, made binary"))
+    return [x.name for x in made.repartition("bucket").sortWithinPartitions("bucket").transform(mapped(_met, "name long")).collect()]
 
 
 def named_globally(texts: DataFrame, rounds: int = ROUNDS, keep: int | None = None) -> Names:
     """The Spark rounds: names of all runs and pairs of `texts` (text), one to one over all documents.
 
-    Round r gathers the names proposed for its pairs (the first one for the runs too). Where two parts meet in a name,
-    all but one of them get another, and the round is run again; the rounds above it parse with its names. Names that
-    meet are rare (about n ** 2 / 2 ** 62 of n symbols), so they fit the driver.
+    A job gathers the names proposed for the pairs of all rounds (with the first one's for the runs too). Where two parts
+    meet in a name, all but one of those of the lowest such round get another, and the job is run again from that round
+    on, as the rounds above it parse with its names. Names that meet are rare (about n ** 2 / 2 ** 62 of n symbols), so
+    they fit the driver and one job does, as a rule, for all rounds.
     """
     keep = keep or KEEP
     others: dict[int, dict[tuple[int, int], int]] = {r: {} for r in range(rounds + 1)}
     r, salt = 1, 0
-    while r <= rounds:
+    while True:
         names = Names(others, keep)
-        double = _doubled(texts, names, r)
-        remove(texts.sparkSession)  # nothing here holds the round's frames any more, so its shuffle goes
+        double = _doubled(texts, names, r, rounds)
+        remove(texts.sparkSession)  # nothing here holds the job's frames any more, so its shuffle goes
         if not double:
-            r += 1
-            continue
+            return names
         lowest = min(x & 7 for x in double)
+        r = max(lowest, 1)
         double = [x for x in double if x & 7 == lowest]
         salt += 1
         clash = texts.transform(mapped(_meant(names, r, double), "name long, l long, r long")).distinct().collect()
@@ -324,7 +354,6 @@ def named_globally(texts: DataFrame, rounds: int = ROUNDS, keep: int | None = No
             if x.name in first:
                 known[x.l & _ALL, x.r & _ALL] = names.proposed(x.l & _ALL, x.r & _ALL, lowest, salt)
             first.add(x.name)
-    return Names(others, keep)
 
 
 def _anchor_rows(names: Names):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+from collections import Counter
 
 import brute
 import numpy as np
@@ -64,6 +65,20 @@ def test_global_names(spark, monkeypatch):
     assert rows_of(substrings.deduplicate(docs)) == sorted(map(str, brute.substrings([r[:2] for r in rows])))
 
 
+def test_names_in_one_job(spark, monkeypatch):
+    """Where no names meet, one job names all rounds; where some do, each of them is found in its bucket, at any size of the parts."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([row(i, " ".join(rng.choice("abcdefghij") for _ in range(80))) for i in range(60)], COLUMNS).repartition(3).select("text")
+    jobs, doubled = [], substrings._doubled
+    monkeypatch.setattr(substrings, "_doubled", lambda *x: jobs.append(x[2:]) or doubled(*x))
+    assert not any(substrings.named_globally(docs).others.values()) and jobs == [(1, substrings.ROUNDS)]
+    for flush in (substrings.FLUSH, 50):
+        monkeypatch.setattr(substrings, "FLUSH", flush)
+        names = substrings.Names(keep=0xFFC0000000000018)
+        want = sorted({n - (n >> 63 << 64) for made in _made_names(docs, names).values() for n, k in Counter(x % 2**64 for x in made.values()).items() if k > 1})
+        assert want and len({n >> 54 & 0x3FF for n in want}) > 1 and sorted(doubled(docs, names, 1, substrings.ROUNDS)) == want
+
+
 def _made_names(docs, names):
     out = {r: {} for r in range(substrings.ROUNDS + 1)}
     for r in range(1, substrings.ROUNDS + 1):
