@@ -245,7 +245,7 @@ class Encoder:
         return ids, lengths
 
 
-def _batches(batches, rows: int = 1024):
+def _batches(batches, rows: int = 512):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
